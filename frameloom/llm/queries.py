@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.functions.keys import canon_id, micros
 from frameloom.llm.bpe import encode_corpus
 from frameloom.llm.neardup import linked_records, similar_texts
+from frameloom.llm.runs import event_runs
 from frameloom.llm.splitting import split_corpus
 
 
@@ -14,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "chunks")
+    return event_runs(c.select(canon_id("camera_id").alias("key"), micros("t_start").alias("t"), F.col("chunk_id").alias("id"), "gated", micros("t_end").alias("t_end"), "caption"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select(F.col("key").alias("camera_id"), F.col("first_id").alias("first_chunk_id"), F.col("last_id").alias("last_chunk_id"), F.col("n").alias("n_chunks"))
+
+
+def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select(F.col("key").alias("camera_id"), "start_us", "end_us", "duration_s", F.col("n").alias("n_chunks"), "gated")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = linked_records(_table(spark, sf_dir, "chunks"), "chunk_id", "caption")
     return pairs.select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
@@ -27,11 +42,25 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p8_ids, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p8_ids, p10_pieces)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(caption), '[\\p{L}\\p{N}]+'))"
 
+_RUNS = f"""
+with c as (select distinct lower(trim(camera_id)) as k, epoch_us(t_start) as t, epoch_us(t_end) as z, chunk_id, gated, {_WORDS} as w from chunks
+           where camera_id is not null and t_start is not null and gated is not null),
+p as (select *, lag(t) over o as pt, lag(gated) over o as pg, lag(w) over o as pw from c window o as (partition by k order by t, chunk_id)),
+b as (select *, case when t - pt <= 600000000 and gated = pg and (gated or (len(w) > 0 and len(pw) > 0
+        and 10 * len(list_intersect(w, pw)) >= 7 * (len(w) + len(pw) - len(list_intersect(w, pw))))) then 0 else 1 end as brk from p),
+g as (select *, sum(brk) over (partition by k order by t, chunk_id rows unbounded preceding) as r from b)"""
+
 ORACLE = {
+    "p3_found": _RUNS + """
+select k as camera_id, arg_min(chunk_id, row(t, chunk_id)) as first_chunk_id, arg_max(chunk_id, row(t, chunk_id)) as last_chunk_id, count(*) as n_chunks
+from g group by k, r having count(*) >= 2""",
+    "p3_runs": _RUNS + """
+select k as camera_id, min(t) as start_us, max(z) as end_us, (max(z) - min(t)) / 1e6 as duration_s, count(*) as n_chunks, bool_or(gated) as gated
+from g group by k, r having count(*) >= 2""",
     # The pairs of distinct captions that share one of the words a pair must share; too slow for SQL beyond the smaller sizes.
     "p4_found": f"""
 with c as (select caption, {_WORDS} as w from (select distinct caption from chunks where caption is not null) where len({_WORDS}) > 0),
