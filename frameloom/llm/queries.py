@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.keys import canon_id, micros
 from frameloom.llm.bpe import encode_corpus
+from frameloom.llm.leakage import find_leaks
 from frameloom.llm.neardup import linked_records, similar_texts
+from frameloom.llm.nndescent import NeighbourGraph, close_pairs
 from frameloom.llm.runs import event_runs
 from frameloom.llm.splitting import split_corpus
 
@@ -34,15 +36,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> NeighbourGraph:
+    return NeighbourGraph(_table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("rec"), F.col("embedding").alias("v")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return close_pairs(_graph(spark, sf_dir)).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).neighbours().select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "rank", "cosine")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), paraphrases=False)
+    return leaks.filter("kind = 'exact'").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p8_ids, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p6_found, p6_neighbours, p8_ids, p9_found, p9_leaks, p10_pieces)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(caption), '[\\p{L}\\p{N}]+'))"
 
@@ -61,6 +84,12 @@ from g group by k, r having count(*) >= 2""",
     "p3_runs": _RUNS + """
 select k as camera_id, min(t) as start_us, max(z) as end_us, (max(z) - min(t)) / 1e6 as duration_s, count(*) as n_chunks, bool_or(gated) as gated
 from g group by k, r having count(*) >= 2""",
+    "p9_found": """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_items),
+gd as (select doc_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k + 11], ' '))) as g from d where len(w) >= 12),
+gi as (select item_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k + 11], ' '))) as g from i where len(w) >= 12)
+select distinct doc_id, item_id from gd join gi using (g)""",
     # The pairs of distinct captions that share one of the words a pair must share; too slow for SQL beyond the smaller sizes.
     "p4_found": f"""
 with c as (select caption, {_WORDS} as w from (select distinct caption from chunks where caption is not null) where len({_WORDS}) > 0),
