@@ -87,8 +87,8 @@ from g group by k, r having count(*) >= 2""",
     "p9_found": """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_items),
-gd as (select doc_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k + 11], ' '))) as g from d where len(w) >= 12),
-gi as (select item_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k + 11], ' '))) as g from i where len(w) >= 12)
+gd as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from d where len(w) >= 12),
+gi as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from i where len(w) >= 12)
 select distinct doc_id, item_id from gd join gi using (g)""",
     # The pairs of distinct captions that share one of the words a pair must share; too slow for SQL beyond the smaller sizes.
     "p4_found": f"""
