@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import time
 from collections import Counter
@@ -65,6 +66,8 @@ def main(args: list[str]) -> int:
     sf = args[0] if args else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
     names = args[1:] or list(e.oracle_sql())
+    if len(names) == 1 and not names[0].isidentifier():  # a pattern
+        names = [n for n in e.oracle_sql() if re.search(names[0], n)]
     spark, con = get_spark(cpus=8), duck(sf_dir)
     bad = 0
     for n in names:
