@@ -174,7 +174,7 @@ def _add_up(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 
     if n > 8:
         parts = parts.repartition(max(1, int(n**0.5))).mapInArrow(add, "m binary")
-    rows = parts.coalesce(1).mapInArrow(add, "m binary").collect()
+    rows = parts.repartition(1).mapInArrow(add, "m binary").collect()
     return np.frombuffer(rows[0][0], dtype=np.float32).reshape(shape).astype(np.float64) if rows else np.zeros(shape)
 
 
