@@ -79,10 +79,14 @@ def scene_number(c: Column, scenes: int = 8) -> Column:
 def active_minutes(spec: Column | str) -> Column:
     """``struct(start, end)`` in minutes of a window ``HH:MM-HH:MM``; null if it is none (F-D8)."""
     s = F.trim(F.col(spec) if isinstance(spec, str) else spec)
-    part = lambda i: F.regexp_extract(s, r"^(\d{1,2}):(\d{2})-(\d{1,2}):(\d{2})$", i)
-    h1, m1, h2, m2 = (F.when(part(i) != "", part(i).cast("int")) for i in range(1, 5))
-    ok = (m1 <= 59) & (m2 <= 59) & ((h1 < 24) | ((h1 == 24) & (m1 == 0))) & ((h2 < 24) | ((h2 == 24) & (m2 == 0)))
-    return F.when(ok, F.struct((h1 * 60 + m1).alias("start"), (h2 * 60 + m2).alias("end")))
+    parts = F.when(s.rlike(r"^\d{1,2}:\d{2}-\d{1,2}:\d{2}$"), F.split(F.translate(s, "-", ":"), ":").cast("array<int>"))
+
+    def window(p: Column) -> Column:
+        time = lambda h, m: (m <= 59) & ((h < 24) | ((h == 24) & (m == 0)))
+        return F.when(time(p[0], p[1]) & time(p[2], p[3]), F.struct((p[0] * 60 + p[1]).alias("start"), (p[2] * 60 + p[3]).alias("end")))
+
+    # Bound once by the lambda, so that the parsing is not repeated in the plan.
+    return F.get(F.transform(F.array(parts), window), F.lit(0))
 
 
 def minute_within(start: Column, end: Column, t: Column | str, zone: str) -> Column:

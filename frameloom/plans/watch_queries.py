@@ -141,7 +141,7 @@ def verification_verdicts(spark, sf_dir):
 
 
 _TILED = f"""{_SEG}, {_J}, rq as (select job_id, start_us as t0, end_us as t1, answer from lj where end_us > start_us),
-cv as (select job_id, coalesce(sum(greatest(0, least(t1, eff_end) - greatest(t0, s.start_us))), 0) / 1e6 as covered from rq left join se s on s.camera_id = 'cam01' and s.start_us < t1 and s.eff_end > t0 group by 1)"""
+cv as (select job_id, coalesce(sum(greatest(0, least(t1, eff_end) - greatest(t0, s.start_us))) filter (s.path is not null), 0) / 1e6 as covered from rq left join se s on s.camera_id = 'cam01' and s.start_us < t1 and s.eff_end > t0 group by 1)"""
 
 
 @query(f"with {_TILED}, x as (select job_id, (t1 - t0) / 1e6 as asked, covered, greatest(1, cast(round_even((t1 - t0) / 1e6 * 0.4, 0) as int)) as expected, coalesce({' or '.join(chr(40) + 'contains(lower(answer), ' + chr(39) + h.replace(chr(39), chr(39) * 2) + chr(39) + ')' + chr(41) for h in tx.HEDGES)}, false) as hedged from rq join cv using (job_id)) select job_id, expected, round(case when hedged then 0.35 else 1 end * least(1, covered / asked), 4) as confidence from x")
@@ -226,7 +226,7 @@ pr as (select chunk_id, t_start, start_us, end_us, task_id, window_s, action, co
   not coalesce(gated, true) and coalesce(caption, '') <> '' as seen,
   case when len(te) = len(embedding) and len(te) > 0 and list_sum(list_transform(embedding, lambda x: x * x)) > 0 and list_sum(list_transform(te, lambda x: x * x)) > 0 then round(list_cosine_similarity(te, embedding), 9) else 0 end as score,
   case when len(want) = 0 then 0 else len(list_intersect(want, cw)) / len(want) end as cov from cc, tk),
-st as (select *, awake and seen and score >= 0.15 as s1, awake and seen and score >= 0.15 and cov >= 0.5 as ok from pr)"""
+st as materialized (select *, awake and seen and score >= 0.15 as s1, awake and seen and score >= 0.15 and cov >= 0.5 as ok from pr)"""
 _RUNS = f"""{_FU},
 ru as (select *, sum(case when ok then 0 else 1 end) over (partition by task_id order by t_start, chunk_id rows unbounded preceding) as run from st),
 hi as (select *, min(start_us) over (partition by task_id, run) as since from ru where ok),
@@ -262,7 +262,7 @@ def promotions(spark, sf_dir):
 def _fires(cooldown: str, pad: str) -> str:
     """Requests decided one after the other; collisions only need the latest ends, as starts rise."""
     return f"""with recursive {_RUNS},
-q as (select task_id || '|' || action as key, since as t0, end_us as t1, chunk_id || '|' || task_id as id, end_us as act, cooldown * 1000000 as cd, row_number() over (partition by task_id, action order by since, chunk_id || '|' || task_id) as i from req),
+q as materialized (select task_id || '|' || action as key, since as t0, end_us as t1, chunk_id || '|' || task_id as id, end_us as act, cooldown * 1000000 as cd, row_number() over (partition by task_id, action order by since, chunk_id || '|' || task_id) as i from req),
 d as (select key, i, t0, t1, id, act, false as dedupe, false as cooldown, act as last, [struct_pack(a := t0, z := t1)] as fired from q where i = 1
   union all
   select q.key, q.i, q.t0, q.t1, q.id, q.act, x.dd, x.cc, case when x.dd or x.cc then d.last else greatest(d.last, q.act) end, case when x.dd or x.cc then d.fired else list_append(d.fired, struct_pack(a := q.t0, z := q.t1)) end
@@ -296,7 +296,7 @@ def _plain_requests(spark, sf_dir, cooldown_s: int) -> DataFrame:
     return c.select(F.col("camera_id").alias("key"), F.col("start_us").alias("t0"), F.col("end_us").alias("t1"), F.col("chunk_id").alias("id"), F.col("end_us").alias("act"), F.lit(cooldown_s * funnel.US).cast("long").alias("cooldown_us"))
 
 
-_QC = f"""{_CH}, q as (select camera_id as key, start_us as t0, end_us as t1, chunk_id as id, row_number() over (partition by camera_id order by start_us, chunk_id) as i from ch where not gated and camera_id is not null and start_us is not null and end_us >= start_us)"""
+_QC = f"""{_CH}, q as materialized (select camera_id as key, start_us as t0, end_us as t1, chunk_id as id, row_number() over (partition by camera_id order by start_us, chunk_id) as i from ch where not gated and camera_id is not null and start_us is not null and end_us >= start_us)"""
 
 
 @query(f"with recursive {_QC}, d as (select key, i, id, true as f, t1 as last from q where i = 1 union all select q.key, q.i, q.id, q.t1 - d.last >= 300000000, case when q.t1 - d.last >= 300000000 then greatest(d.last, q.t1) else d.last end from d join q on q.key = d.key and q.i = d.i + 1) select key, id from d where f")

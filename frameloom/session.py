@@ -73,3 +73,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frameloom.operators.funnel import US, BrakeState
 
+#: Id of the row that closes a key.
+CLOSE = "\uffff"
 DECISIONS = "key string, t0 bigint, t1 bigint, id string, act bigint, fired boolean, dedupe boolean, cooldown boolean, brake string, late boolean"
 
 
@@ -41,18 +43,18 @@ def _decide(pad_us: int, hold_us: int):
         late = [] if done is None else [r for r in rows if [r[0], r[2]] <= done]
         fresh = rows if done is None else [r for r in rows if [r[0], r[2]] > done]
         waiting = sorted(waiting + fresh, key=lambda r: (r[0], r[2]))
-        flush = state.hasTimedOut
+        flush = any(r[2] == CLOSE for r in rows)
         out = []
         while waiting and (flush or waiting[0][0] <= top - hold_us):
             t0, t1, ident, act, cd = waiting.pop(0)
+            if ident == CLOSE:
+                continue
             s.forget_before(t0, pad_us)
             d, c = s.decide(act, t0, t1, cd, pad_us)
             done = [t0, ident]
             out.append((key[0], t0, t1, ident, act, not d and not c, d, c, "dedupe" if d else "cooldown" if c else None, False))
         out += [(key[0], r[0], r[1], r[2], r[3], False, False, False, None, True) for r in late]
         state.update((json.dumps([s.last, s.ranges, waiting, done, top]),))
-        if waiting:
-            state.setTimeoutDuration(1000)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
@@ -64,10 +66,10 @@ def stream_brakes(requests: DataFrame, *, pad_s: float = 5.0, hold_s: float = 0.
 
     Requests may arrive out of order by up to ``hold_s`` of their t0; they are
     held until then and decided in order. One that comes later than that is
-    not dropped: it comes out undecided with ``late`` set. Held requests also
-    come out when a key has been silent for a second of processing time.
+    not dropped: it comes out undecided with ``late`` set. A row with the id
+    ``CLOSE`` and a t0 after all others closes a key: what is held comes out.
     """
-    return requests.groupBy("key").applyInPandasWithState(_decide(int(pad_s * US), int(hold_s * US)), DECISIONS, "s string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("key").applyInPandasWithState(_decide(int(pad_s * US), int(hold_s * US)), DECISIONS, "s string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_verdicts(actions: DataFrame, jobs: DataFrame, *, delay: str = "10 minutes", deadline: str = "90 seconds") -> DataFrame:
