@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.session import cut, materialize
+from frameloom.session import cut, discard, materialize
 
 
 @dataclass(frozen=True)
@@ -281,7 +281,12 @@ class NeighbourGraph:
         self.lists = materialize(_merged(self._cells().mapInArrow(_cell_graph(o), _LIST), o), "graph")
         for _ in range(o.rounds):
             _free(self.nodes)
-            self.lists = materialize(self._descend(), "graph")
+            # In two written steps, so that the shuffles of the first are gone when the second runs.
+            better = materialize(self._descend(), "better")
+            _free(self.nodes)
+            before, self.lists = self.lists, materialize(_merged(self.lists.unionByName(better), o), "graph")
+            discard(before)
+            discard(better)
         _free(self.nodes)
 
     def _cells(self) -> DataFrame:
@@ -318,8 +323,7 @@ class NeighbourGraph:
         meet = forward.unionByName(reverse)
         members = self.nodes.select("id", "q").join(self.lists.mapInArrow(_worst(o), "id bigint, worst float"), "id")
         at = meet.join(members, "id").select("centre", "id", "worst", "q")
-        better = at.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(o), _LIST)
-        return _merged(self.lists.unionByName(better), o)
+        return at.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(o), _LIST)
 
     def candidates(self, least: float = -2.0) -> DataFrame:
         """``(a, b, approx)`` by record: the edges of the graph of at least that approximate cosine."""
