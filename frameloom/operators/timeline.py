@@ -73,8 +73,8 @@ def covered_seconds(spans: DataFrame) -> DataFrame:
 
 
 def require_complete(spans: DataFrame) -> DataFrame:
-    """The spans, or an error at run time if any is a gap (Q12)."""
-    return spans.filter(F.assert_true(~F.col("is_gap"), F.lit("footage is missing")).isNull())
+    """The spans; reading the path of a gap is an error (Q12)."""
+    return spans.withColumn("path", F.when(F.col("is_gap"), F.raise_error(F.lit("footage is missing")).cast("string")).otherwise(F.col("path")))
 
 
 def segment_of_instant(instants: DataFrame, segments: DataFrame, *, bucket_s: float = 600) -> DataFrame:
