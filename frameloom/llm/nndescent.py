@@ -270,6 +270,7 @@ class NeighbourGraph:
         o = self.options = options or GraphOptions()
         self.vectors = vectors
         self.nodes = materialize(usable(vectors, o.dims).withColumn("id", F.monotonically_increasing_id()), "vectors")
+        _free(self.nodes)
         self.n = self.nodes.count()
         self.pivots = None
         if not self.n:
@@ -357,12 +358,44 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(c)], names=["a", "b", "cosine"])
 
 
+def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """One row ``bits``: a map of fixed size in which the hashes of all keys are set, joined in a tree."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, dtype=bool)
+        for b in batches:
+            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total |= np.frombuffer(x, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bits"])
+
+    maps = keys.select(F.pmod(F.xxhash64("rec"), F.lit(bits)).cast("long")).mapInArrow(mark, "bits binary")
+    n = maps.rdd.getNumPartitions()
+    if n > 16:
+        maps = maps.repartition(int(n**0.5)).mapInArrow(merge, "bits binary")
+    return maps.repartition(1).mapInArrow(merge, "bits binary")
+
+
+def _only_marked(rows: DataFrame, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose ``rec`` may be among the keys, picked before any shuffle by a broadcast map of bits / 8 bytes."""
+    h = F.pmod(F.xxhash64("rec"), F.lit(bits))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(h / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.expr("shiftright(_byte, cast(_h % 8 as int)) & 1") == 1
+    return rows.crossJoin(F.broadcast(cut(_bitmap(keys, bits)))).withColumn("_h", h).withColumn("_byte", byte).filter(found).drop("bits", "_h", "_byte")  # one row of fixed size
+
+
 def top_by_cosine(pairs: DataFrame, vectors: DataFrame, dims: int, k: int, least: float) -> DataFrame:
     """Rank candidate pairs by their exact cosines."""
     from pyspark.sql import Window
 
     ends = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
-    full = vectors.select(F.col("rec").cast("string").alias("rec"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == dims).join(ends, "rec", "left_semi").groupBy("rec").agg(F.min("v").alias("v"))
+    ends = cut(ends)
+    full = _only_marked(vectors.select(F.col("rec").cast("string").alias("rec"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == dims), ends).join(ends, "rec", "left_semi").groupBy("rec").agg(F.min("v").alias("v"))
     full = materialize(full, "exact")
     scored = pairs.join(full.select(F.col("rec").alias("a"), F.col("v").alias("va")), "a").join(full.select(F.col("rec").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb").mapInArrow(_cosines, "a string, b string, cosine double")
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
