@@ -395,8 +395,9 @@ def top_by_cosine(pairs: DataFrame, vectors: DataFrame, dims: int, k: int, least
 
     ends = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
     ends = cut(ends)
-    full = _only_marked(vectors.select(F.col("rec").cast("string").alias("rec"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == dims), ends).join(ends, "rec", "left_semi").groupBy("rec").agg(F.min("v").alias("v"))
-    full = materialize(full, "exact")
+    # Written before the join: Catalyst would move the semi join below the map, and so shuffle all vectors.
+    marked = materialize(_only_marked(vectors.select(F.col("rec").cast("string").alias("rec"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == dims), ends), "marked")
+    full = materialize(marked.join(ends, "rec", "left_semi").groupBy("rec").agg(F.min("v").alias("v")), "exact")
     scored = pairs.join(full.select(F.col("rec").alias("a"), F.col("v").alias("va")), "a").join(full.select(F.col("rec").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb").mapInArrow(_cosines, "a string, b string, cosine double")
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("cosine") >= least)).select("a", "b", "rank", "cosine")
