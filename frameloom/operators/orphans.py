@@ -90,7 +90,7 @@ def _states(refs: pa.RecordBatch, hashes: np.ndarray, parents: pa.Table | None)
     return pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], names=["src", "field", "rec_id", "state", "ts"])
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, *, parents_per_range: int = 200_000, refs_per_part: int = 2_000_000) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, *, parents_per_range: int = 20_000, refs_per_part: int = 100_000) -> DataFrame:
     """``(src, field, rec_id, state, ts)`` of every reference that is an orphan.
 
     ``refs``: src, field, rec_id, key, ts (bigint or null). ``parents``: field,

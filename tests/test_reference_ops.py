@@ -283,3 +283,18 @@ def test_plans_push_filters_and_avoid_cartesian(spark):
     assert "TakeOrderedAndProject" in plan
     plan = watch_queries.dedupe_collisions_audit(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_engine(spark):
+    from frameloom.api import Engine
+
+    e = Engine(stream_queries.chunks(spark, SF, vectors=True).filter(F.size("embedding") == 64), stream_queries.segments(spark, SF), watch_queries.log(spark, SF), watch_queries.latest_jobs(spark, SF))
+    row = e.ask("what licence does the crane track have", tier=None).head()
+    assert row.escalate and not row.grounded and row.missing == ["licence"]
+    assert e.stats().count() == 1
+    root = e.log.filter("parent_id is null").select("entry_id").orderBy("entry_id").first()[0]
+    assert [r.root for r in e.resolve(root).collect()] == [root]
+    assert e.resolved(0, 2**60).count() > 0
+    assert e.dispatch("search_index", query="crane track").count() <= 5
+    with pytest.raises(KeyError):
+        e.dispatch("launch")
