@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.session import cut, discard, materialize
@@ -315,11 +315,9 @@ class NeighbourGraph:
     def _descend(self) -> DataFrame:
         o = self.options
         edges = self.lists.mapInArrow(_edges(o), "id bigint, nb bigint")
-        # A bounded sample of those that name a vector, combined before the shuffle: the least hash in each of some slots.
-        h = F.xxhash64("id", "nb", F.lit(o.seed))
-        slot = F.pmod(h, F.lit(o.reverse))
-        named = edges.groupBy("nb").agg(*[F.min(F.when(slot == j, F.struct(h.alias("h"), "id"))).alias(f"s{j}") for j in range(o.reverse)])
-        reverse = named.select(F.col("nb").alias("centre"), F.explode(F.array(*[F.col(f"s{j}.id") for j in range(o.reverse)])).alias("id")).filter("id is not null")
+        # A bounded sample of those that name a vector; the limit also holds before the shuffle (WindowGroupLimit).
+        nearest = Window.partitionBy("nb").orderBy("h", "id")
+        reverse = edges.withColumn("h", F.xxhash64("id", "nb", F.lit(o.seed))).withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= o.reverse).select(F.col("nb").alias("centre"), "id")
         forward = edges.select(F.col("id").alias("centre"), F.col("nb").alias("id"))
         meet = forward.unionByName(reverse)
         members = self.nodes.select("id", "q").join(self.lists.mapInArrow(_worst(o), "id bigint, worst float"), "id")
@@ -382,17 +380,21 @@ def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
 
 
 def _only_marked(rows: DataFrame, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows whose ``rec`` may be among the keys, picked before any shuffle by a broadcast map of bits / 8 bytes."""
-    h = F.pmod(F.xxhash64("rec"), F.lit(bits))
-    byte = F.conv(F.hex(F.substr("bits", (F.floor(h / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.expr("shiftright(_byte, cast(_h % 8 as int)) & 1") == 1
-    return rows.crossJoin(F.broadcast(cut(_bitmap(keys, bits)))).withColumn("_h", h).withColumn("_byte", byte).filter(found).drop("bits", "_h", "_byte")  # one row of fixed size
+    """Rows ``(rec, v)`` whose rec may be among the keys, picked before any shuffle by a broadcast map of bits / 8 bytes."""
+    seen = rows.sparkSession.sparkContext.broadcast(bytes(_bitmap(keys, bits).head()[0]))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(seen.value, dtype=np.uint8)
+        for b in batches:
+            h = b.column(2).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((marks[h >> 3] >> (h & 7)) & 1 == 1)).select([0, 1])
+
+    marked = rows.select("rec", "v", F.pmod(F.xxhash64("rec"), F.lit(bits)).cast("long").alias("h"))
+    return marked.mapInArrow(pick, "rec string, v array<double>")
 
 
 def top_by_cosine(pairs: DataFrame, vectors: DataFrame, dims: int, k: int, least: float) -> DataFrame:
     """Rank candidate pairs by their exact cosines."""
-    from pyspark.sql import Window
-
     ends = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
     ends = cut(ends)
     # Written before the join: Catalyst would move the semi join below the map, and so shuffle all vectors.
