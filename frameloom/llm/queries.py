@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.keys import canon_id, micros
 from frameloom.llm.bpe import encode_corpus
+from frameloom.llm.graph_search import greedy_search
 from frameloom.llm.leakage import find_leaks
 from frameloom.llm.neardup import linked_records, similar_texts
 from frameloom.llm.nndescent import NeighbourGraph, close_pairs
@@ -48,6 +49,13 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).neighbours().select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "rank", "cosine")
 
 
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose number in the graph is divisible by 100, against all vectors, by walking the graph."""
+    g = _graph(spark, sf_dir)
+    queries = g.vectors.join(g.nodes.filter("id % 100 = 0").select("rec"), "rec", "left_semi")
+    return greedy_search(g, queries).select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "rank", "cosine")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +73,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p6_found, p6_neighbours, p8_ids, p9_found, p9_leaks, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p6_found, p6_neighbours, p6_search, p8_ids, p9_found, p9_leaks, p10_pieces)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(caption), '[\\p{L}\\p{N}]+'))"
 

@@ -13,6 +13,7 @@ from tests.compare import compare, duck
 
 from frameloom.llm import queries
 from frameloom.llm.bpe import DEFAULT_TOKENIZER, automaton, decode_corpus, encode_corpus
+from frameloom.llm.graph_search import greedy_search
 from frameloom.llm.leakage import LeakOptions, find_leaks
 from frameloom.llm.neardup import linked_records, similar_texts
 from frameloom.llm.nndescent import GraphOptions, NeighbourGraph, close_pairs
@@ -230,6 +231,19 @@ def test_neighbours_recall_and_edges(spark):
     assert NeighbourGraph(df.limit(0), GraphOptions(dims=16)).neighbours().count() == 0
 
 
+def test_greedy_search_recall(spark):
+    x = np.random.default_rng(3).standard_normal((1500, 16))
+    df = spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)], "rec string, v array<double>")
+    out = greedy_search(NeighbourGraph(df, GraphOptions(dims=16, pivot_rows=100)), df.filter("rec like '%00'")).collect()
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    got = {(r.a, r.b) for r in out}
+    want = {(f"r{i:04d}", f"r{j:04d}") for i in range(0, 1500, 100) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert greedy_search(NeighbourGraph(df.limit(0), GraphOptions(dims=16)), df.limit(1)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
