@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.nndescent import GraphOptions, NeighbourGraph, _bytes_of, _edges, _Pivots, _unit, top_by_cosine, usable
+from frameloom.llm.nndescent import _EDGES, GraphOptions, NeighbourGraph, _bytes_of, _edges, _Pivots, _unit, top_by_cosine, usable
 from frameloom.session import cut, materialize
 
 
@@ -54,7 +54,7 @@ def greedy_search(graph: NeighbourGraph, queries: DataFrame, k: int = 5, *, beam
     doors = doors.select("cell", F.explode(F.array(*[F.col(f"s{j}.id") for j in range(entries)])).alias("id")).filter("id is not null")
     reach = asked.mapInArrow(cells, "query string, cell int").join(doors, "cell").select("query", "id").distinct()
     best = None
-    edges = graph.lists.mapInArrow(_edges(replace(o, forward=o.keep)), "id bigint, nb bigint")
+    edges = graph.lists.mapInArrow(_edges(replace(o, forward=o.keep)), _EDGES)
     top = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     for _ in range(steps + 1):
         new = reach.join(graph.nodes.select("id", "q", "rec"), "id").join(asked, "query").filter("rec <> query").select("query", "qv", "id", "q").mapInArrow(_score(o), "query string, id bigint, sim float")

@@ -8,7 +8,9 @@
 3. NN-descent: at every vector, its neighbours and a sample of those that have
    it as neighbour are compared with each other; pairs better than what either
    has enter the graph. Each round is a few Spark joins; vectors travel to
-   where they are compared, and no vector gets more than a fixed number.
+   where they are compared, and no vector gets more than a fixed number. Pairs
+   of which neither edge is new since the last round are not compared again.
+   Rounds go on until few entries of the lists change.
 4. Queries walk the graph greedily from the cells of their nearest pivots.
 """
 
@@ -27,18 +29,19 @@ from frameloom.session import cut, discard, materialize
 
 @dataclass(frozen=True)
 class GraphOptions:
-    """``keep``: neighbours held per vector. ``cells``: cells a vector goes to. ``pivot_rows``: vectors per pivot. ``max_pivots`` bounds the fitted sample. ``forward``, ``reverse``: neighbours compared at a vector."""
+    """``keep``: neighbours held per vector. ``cells``: cells a vector goes to. ``pivot_rows``: vectors per pivot. ``max_pivots`` bounds the fitted sample. ``forward``, ``reverse``: neighbours compared at a vector. ``least_change``: rounds end when a smaller share of the list entries is new; ``rounds`` is the most there may be."""
 
     dims: int = 64
-    keep: int = 10
-    cells: int = 3
+    keep: int = 30
+    cells: int = 4
     cell_keep: int = 8
     pivot_rows: int = 200
     max_pivots: int = 65_536
     cell_rows: int = 20_000
-    rounds: int = 1
-    forward: int = 4
-    reverse: int = 4
+    rounds: int = 30
+    least_change: float = 0.01
+    forward: int = 30
+    reverse: int = 30
     seed: int = 11
 
 
@@ -150,7 +153,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _cell_graph(o: GraphOptions):
-    """Best neighbours within each cell: (id, ids, cosines)."""
+    """Best neighbours within each cell: (id, ids, cosines, ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "cell"):
@@ -167,83 +170,112 @@ def _cell_graph(o: GraphOptions):
                     r = np.arange(len(d))
                     d[r, r + i] = -2
                     j = _best(d, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 512]), _binary(own[j].astype(np.int64)), _binary(np.take_along_axis(d, j, axis=1).astype(np.float32))], names=["id", "to", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 512]), _binary(own[j].astype(np.int64)), _binary(np.take_along_axis(d, j, axis=1).astype(np.float32)), _binary(np.ones(j.shape, np.int8))], names=_NAMES)
 
     return run
 
 
-def _top(owner: np.ndarray, to: np.ndarray, sim: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of each owner: distinct, best first, at most ``keep``; with their ranks."""
-    o = np.lexsort((to, -sim, owner))
-    owner, to, sim = owner[o], to[o], sim[o]
-    # The same target from two cells has the same cosine, so its copies stand together.
+def _top(owner: np.ndarray, to: np.ndarray, sim: np.ndarray, fresh: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of each owner: distinct, best first, at most ``keep``; with their ranks. Of copies the one that is not fresh stays."""
+    # By target first: the cosines of two copies may differ in the last bit.
+    o = np.lexsort((fresh, to, owner))
+    owner, to, sim, fresh = owner[o], to[o], sim[o], fresh[o]
     first = np.ones(len(owner), dtype=bool)
     first[1:] = (owner[1:] != owner[:-1]) | (to[1:] != to[:-1])
-    owner, to, sim = owner[first], to[first], sim[first]
+    owner, to, sim, fresh = owner[first], to[first], sim[first], fresh[first]
+    o = np.lexsort((to, -sim, owner))
+    owner, to, sim, fresh = owner[o], to[o], sim[o], fresh[o]
     start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.concatenate([start, [len(owner)]])))
     m = rank < keep
-    return owner[m], to[m], sim[m], rank[m]
+    return owner[m], to[m], sim[m], fresh[m], rank[m]
 
 
 def _merge(o: GraphOptions):
-    """Lists of the same vector to one list of the best: (id, to, sim), padded with -1 and -2."""
+    """Lists of the same vector to one list of the best: (id, to, sim, fresh), padded with -1, -2 and 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "id"):
             ids = t["id"].to_numpy()
-            tos, sims = t["to"].combine_chunks(), t["sim"].combine_chunks()
+            tos, sims, news = (t[c].combine_chunks() for c in ("to", "sim", "fresh"))
             n = np.diff(np.frombuffer(tos.buffers()[1], dtype=np.int32)[tos.offset : tos.offset + len(tos) + 1]) // 8
-            owner, to, sim, rank = _top(np.repeat(ids, n), np.frombuffer(b"".join(tos.to_pylist()), dtype=np.int64), np.frombuffer(b"".join(sims.to_pylist()), dtype=np.float32), o.keep)
+            to, sim, fresh = (np.frombuffer(b"".join(c.to_pylist()), dtype=kind) for c, kind in ((tos, np.int64), (sims, np.float32), (news, np.int8)))
+            real = to >= 0
+            owner, to, sim, fresh, rank = _top(np.repeat(ids, n)[real], to[real], sim[real], fresh[real], o.keep)
             own, at = np.unique(owner, return_inverse=True)
-            out_to, out_sim = np.full((len(own), o.keep), -1, np.int64), np.full((len(own), o.keep), -2, np.float32)
-            out_to[at, rank], out_sim[at, rank] = to, sim
-            yield pa.RecordBatch.from_arrays([pa.array(own), _binary(out_to), _binary(out_sim)], names=["id", "to", "sim"])
+            out_to, out_sim, out_fresh = np.full((len(own), o.keep), -1, np.int64), np.full((len(own), o.keep), -2, np.float32), np.zeros((len(own), o.keep), np.int8)
+            out_to[at, rank], out_sim[at, rank], out_fresh[at, rank] = to, sim, fresh
+            yield pa.RecordBatch.from_arrays([pa.array(own), _binary(out_to), _binary(out_sim), _binary(out_fresh)], names=_NAMES)
 
     return run
 
 
-_LIST = "id bigint, to binary, sim binary"
+_LIST = "id bigint, to binary, sim binary, fresh binary"
+_NAMES = ["id", "to", "sim", "fresh"]
 
 
 def _merged(lists: DataFrame, o: GraphOptions) -> DataFrame:
     return lists.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(o), _LIST)
 
 
+_EDGES = "id bigint, nb bigint, fresh byte"
+
+
 def _edges(o: GraphOptions):
-    """The best ``forward`` edges of each list: (id, nb)."""
+    """The best ``forward`` edges of each list: (id, nb, fresh)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 to = _bytes_of(b.column("to"), np.int64, o.keep)[:, : o.forward]
+                fresh = _bytes_of(b.column("fresh"), np.int8, o.keep)[:, : o.forward]
                 ids = np.repeat(b.column("id").to_numpy(), to.shape[1])
                 ok = to.ravel() >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(to.ravel()[ok])], names=["id", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(to.ravel()[ok]), pa.array(fresh.ravel()[ok])], names=["id", "nb", "fresh"])
 
     return run
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers as a binary column whose rows end before ``ends``."""
+    at = np.concatenate([[0], ends]) * flat.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+
+
 def _local_join(o: GraphOptions):
-    """Pairs of the vectors that met at a centre, where they better one's list: (id, to, sim) lists of one."""
+    """Pairs of the vectors that met at a centre, one of them by a fresh edge, where they better one's list: (id, to, sim, fresh)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = o.forward + o.reverse
         for t in _groups(batches, "centre"):
-            c, ids, worst = t["centre"].to_numpy(), t["id"].to_numpy(), t["worst"].to_numpy()
+            c, ids, worst, fresh = (t[x].to_numpy() for x in ("centre", "id", "worst", "fresh"))
             x = _unit(_bytes_of(t["q"].combine_chunks(), np.int8, o.dims))
             start = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
             size = np.diff(start)
-            for a in range(0, len(size), 4096):
-                s, n = start[a : a + 4096 + 1][: len(size[a : a + 4096])], size[a : a + 4096]
+            for a in range(0, len(size), 1024):
+                s, n = start[a : a + 1024 + 1][: len(size[a : a + 1024])], size[a : a + 1024]
                 slot = np.arange(width)[None, :]
                 at = np.where(slot < n[:, None], s[:, None] + slot, -1)
-                m, v = ids[at], x[at]
+                m, v, new = ids[at], x[at], fresh[at] > 0
                 d = v @ v.transpose(0, 2, 1)
-                ok = (at[:, :, None] >= 0) & (at[:, None, :] >= 0) & (m[:, :, None] != m[:, None, :]) & (d > worst[at][:, :, None])
+                ok = (at[:, :, None] >= 0) & (at[:, None, :] >= 0) & (m[:, :, None] != m[:, None, :]) & (new[:, :, None] | new[:, None, :]) & (d > worst[at][:, :, None])
                 g, i, j = np.nonzero(ok)
                 if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array(m[g, i]), _binary(m[g, j][:, None]), _binary(d[g, i, j].astype(np.float32)[:, None])], names=["id", "to", "sim"])
+                    # nonzero goes by (g, i), so each owner's pairs stand together.
+                    ends = np.append(np.flatnonzero((np.diff(g) != 0) | (np.diff(i) != 0)) + 1, len(g))
+                    yield pa.RecordBatch.from_arrays([pa.array(m[g, i][ends - 1]), _lists(m[g, j], ends), _lists(d[g, i, j].astype(np.float32), ends), _lists(np.ones(len(g), np.int8), ends)], names=_NAMES)
+
+    return run
+
+
+def _fresh_count(o: GraphOptions):
+    """Fresh edges among those the next round would follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = int(_bytes_of(b.column("fresh"), np.int8, o.keep)[:, : o.forward].sum(dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return run
 
@@ -280,14 +312,21 @@ class NeighbourGraph:
         rows = self.nodes.select("q").orderBy(F.xxhash64("id", F.lit(o.seed))).limit(want).collect()
         self.pivots = self.nodes.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(bytes(r[0]) for r in rows), dtype=np.int8).reshape(-1, o.dims))
         self.lists = materialize(_merged(self._cells().mapInArrow(_cell_graph(o), _LIST), o), "graph")
-        for _ in range(o.rounds):
+        self.changed: list[float] = []
+        for k in range(o.rounds):
             _free(self.nodes)
             # In two written steps, so that the shuffles of the first are gone when the second runs.
-            better = materialize(self._descend(), "better")
+            better = materialize(self._descend(k), "better")
             _free(self.nodes)
-            before, self.lists = self.lists, materialize(_merged(self.lists.unionByName(better), o), "graph")
+            # The edges that took part are no longer fresh.
+            used = self.lists.withColumn("fresh", F.concat(F.lit(bytearray(o.forward)), F.substring("fresh", o.forward + 1, o.keep)) if o.forward < o.keep else F.lit(bytearray(o.keep)))
+            before, self.lists = self.lists, materialize(_merged(used.unionByName(better), o), "graph")
             discard(before)
             discard(better)
+            new = self.lists.select("fresh").mapInArrow(_fresh_count(o), "n bigint").agg(F.sum("n")).head()[0] or 0
+            self.changed.append(new / (self.n * min(o.keep, o.forward, max(1, self.n - 1))))
+            if self.changed[-1] < o.least_change:
+                break
         _free(self.nodes)
 
     def _cells(self) -> DataFrame:
@@ -312,16 +351,17 @@ class NeighbourGraph:
         rows = rows.select((F.col("cell").cast("long") * F.lit(2**31) + block).alias("cell"), "id", "q")
         return rows.repartition("cell").sortWithinPartitions("cell")
 
-    def _descend(self) -> DataFrame:
+    def _descend(self, k: int) -> DataFrame:
         o = self.options
-        edges = self.lists.mapInArrow(_edges(o), "id bigint, nb bigint")
-        # A bounded sample of those that name a vector; the limit also holds before the shuffle (WindowGroupLimit).
-        nearest = Window.partitionBy("nb").orderBy("h", "id")
-        reverse = edges.withColumn("h", F.xxhash64("id", "nb", F.lit(o.seed))).withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= o.reverse).select(F.col("nb").alias("centre"), "id")
-        forward = edges.select(F.col("id").alias("centre"), F.col("nb").alias("id"))
-        meet = forward.unionByName(reverse)
+        edges = self.lists.mapInArrow(_edges(o), _EDGES)
+        # A bounded sample of those that name a vector, fresh ones first; the limit also holds before the shuffle (WindowGroupLimit).
+        nearest = Window.partitionBy("nb").orderBy(F.desc("fresh"), "h", "id")
+        reverse = edges.withColumn("h", F.xxhash64("id", "nb", F.lit(o.seed + k))).withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= o.reverse).select(F.col("nb").alias("centre"), "id", "fresh")
+        forward = edges.select(F.col("id").alias("centre"), F.col("nb").alias("id"), "fresh")
+        # Two that name each other meet once.
+        meet = forward.unionByName(reverse).repartition("id").groupBy("id", "centre").agg(F.max("fresh").alias("fresh"))
         members = self.nodes.select("id", "q").join(self.lists.mapInArrow(_worst(o), "id bigint, worst float"), "id")
-        at = meet.join(members, "id").select("centre", "id", "worst", "q")
+        at = meet.join(members, "id").select("centre", "id", "worst", "fresh", "q")
         return at.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(o), _LIST)
 
     def candidates(self, least: float = -2.0) -> DataFrame:

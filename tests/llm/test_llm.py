@@ -231,6 +231,20 @@ def test_neighbours_recall_and_edges(spark):
     assert NeighbourGraph(df.limit(0), GraphOptions(dims=16)).neighbours().count() == 0
 
 
+def test_descent_goes_on_until_the_lists_stay(spark):
+    x = np.random.default_rng(5).standard_normal((6000, 64))
+    g = NeighbourGraph(spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)], "rec string, v array<double>"))
+    assert len(g.changed) > 1 and g.changed[-1] < g.options.least_change and g.changed == sorted(g.changed, reverse=True)
+    lists = [np.frombuffer(bytes(r[0]), np.int64) for r in g.lists.select("to").collect()]
+    assert all(len(set(t[t >= 0])) == (t >= 0).sum() for t in lists)
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    got = {(r.a, r.b) for r in g.neighbours().collect()}
+    want = {(f"r{i:04d}", f"r{j:04d}") for i in range(len(x)) for j in np.argpartition(-s[i], 5)[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_greedy_search_recall(spark):
     x = np.random.default_rng(3).standard_normal((1500, 16))
     df = spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)], "rec string, v array<double>")
