@@ -85,38 +85,6 @@ def usable(vectors: DataFrame, dims: int) -> DataFrame:
     return rows.mapInArrow(run, "rec string, q binary").groupBy("rec").agg(F.min("q").alias("q"))
 
 
-class _Pivots:
-    """The nearest pivots of vectors: compared with all, or by way of coarse ones where there are many."""
-
-    def __init__(self, q: np.ndarray) -> None:
-        self.all = _unit(q)
-        self.coarse = None
-        if len(q) > 4096:
-            self.coarse = self.all[:: int(len(q) ** 0.5)]
-            near = self.all @ self.coarse.T
-            at = near.argmax(1)
-            self.under = [np.flatnonzero(at == c) for c in range(len(self.coarse))]
-
-    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
-        m = min(m, len(self.all))
-        out = np.empty((len(x), m), dtype=np.int32)
-        if self.coarse is None:
-            for a in range(0, len(x), 2048):
-                d = x[a : a + 2048] @ self.all.T
-                out[a : a + 2048] = np.argpartition(d, len(self.all) - m, axis=1)[:, -m:] if m < len(self.all) else np.arange(m)
-            return out
-        k = min(4, len(self.coarse))
-        d = x @ self.coarse.T
-        tops = np.argpartition(d, len(self.coarse) - k, axis=1)[:, -k:]
-        for i in range(len(x)):
-            ids = np.concatenate([self.under[c] for c in tops[i]])
-            s = self.all[ids] @ x[i]
-            best = ids[np.argsort(-s)[:m]]
-            out[i, : len(best)] = best
-            out[i, len(best) :] = best[-1]
-        return out
-
-
 def _best(d: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row: they lie in the k groups of 16 columns with the largest maxima."""
     n, c = d.shape
@@ -132,6 +100,21 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(cols, np.argpartition(v, v.shape[1] - k, axis=1)[:, -k:], axis=1)
 
 
+class _Pivots:
+    """The nearest pivots of vectors: compared with all, at every number of pivots, in blocks of bounded size."""
+
+    def __init__(self, q: np.ndarray) -> None:
+        self.all = _unit(q)
+        self.block = max(16, min(2048, 8_000_000 // max(1, len(q))))
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        m = min(m, len(self.all))
+        out = np.empty((len(x), m), dtype=np.int32)
+        for a in range(0, len(x), self.block):
+            out[a : a + self.block] = _best(x[a : a + self.block] @ self.all.T, m)
+        return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups of a key column by which the batches are sorted; each holds at least one group and not many more rows than a batch."""
     held: list[pa.RecordBatch] = []

@@ -16,7 +16,7 @@ from frameloom.llm.bpe import DEFAULT_TOKENIZER, automaton, decode_corpus, encod
 from frameloom.llm.graph_search import greedy_search
 from frameloom.llm.leakage import LeakOptions, find_leaks
 from frameloom.llm.neardup import linked_records, similar_texts
-from frameloom.llm.nndescent import GraphOptions, NeighbourGraph, close_pairs
+from frameloom.llm.nndescent import GraphOptions, NeighbourGraph, _Pivots, close_pairs
 from frameloom.llm.runs import event_runs
 from frameloom.llm.splitting import Splitter, split_corpus
 from frameloom.llm.words import words
@@ -245,6 +245,16 @@ def test_descent_goes_on_until_the_lists_stay(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n", [3, 1000, 5000, 12_474])
+def test_nearest_pivots_are_the_nearest_at_every_number(n):
+    rng = np.random.default_rng(n)
+    pivots = rng.integers(-127, 128, (n, 64)).astype(np.int8)
+    x = rng.standard_normal((300, 64)).astype(np.float32)
+    p = _Pivots(pivots)
+    want = np.sort(np.argsort(-(x @ p.all.T), axis=1)[:, :3], axis=1)
+    assert (np.sort(p.nearest(x, 3), axis=1) == want).all()
+
+
 def test_greedy_search_recall(spark):
     x = np.random.default_rng(3).standard_normal((1500, 16))
     df = spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)], "rec string, v array<double>")
