@@ -8,7 +8,9 @@
    A'(A Q) of its windows, sums meet in a tree, and a few such passes give the
    leading right singular vectors. What travels is terms x rank numbers.
 3. Windows and item passages are projected and compared by cosine, in blocks;
-   pairs above the threshold are candidates.
+   pairs above the threshold are candidates. So are, whatever their cosine,
+   pairs that share ``run`` consecutive words: other words around them can
+   bring the cosine of an exact leak down to any value.
 4. Candidates are checked word by word: the longest run of common consecutive
    words, the longest common subsequence, and whether the item's rarest words
    (its answer) are there.
@@ -207,6 +209,29 @@ def latent_basis(windows: DataFrame, idf: np.ndarray, extra: np.ndarray, o: Leak
     return (held @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
+def _grams(x: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every ``run`` consecutive terms of rows of terms, and their rows; stretches with a term below 0 are left out."""
+    if x.shape[1] < run or not len(x):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    places = x.shape[1] - run + 1
+    h, ok = np.zeros((len(x), places), np.uint64), np.ones((len(x), places), bool)
+    for k in range(run):
+        part = x[:, k : k + places]
+        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ok &= part >= 0
+    return h[ok], np.nonzero(ok)[0]
+
+
+def _sharing(x: np.ndarray, known: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, passage) of pairs with an equal gram; ``known`` are the passages' hashes in order, ``owner`` their passages."""
+    h, row = _grams(x, run)
+    a, z = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+    n = z - a
+    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(row, n), owner[at]
+
+
 def _common_run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Longest run of common consecutive terms of paired windows."""
     best = np.zeros(len(x), dtype=np.int16)
@@ -277,17 +302,21 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, o: LeakOpt
     latent = _unit(_dense(items.passages, idf) @ basis)
     # The answer of a passage: its three rarest words.
     rare = np.sort(np.where(items.passages < 0, np.float32(0), idf[items.passages]), axis=1)[:, -3]
-    both = sc.broadcast((items.passages, items.owner, idf, basis, latent, rare))
+    known, within = _grams(items.passages, o.run)
+    order = np.argsort(known, kind="stable")
+    both = sc.broadcast((items.passages, items.owner, idf, basis, latent, rare, known[order], within[order]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, owner, idf, basis, latent, rare = both.value
+        passages, owner, idf, basis, latent, rare, known, within = both.value
         for b in _chunks(batches, len(idf)):
             if not b.num_rows:
                 continue
             x = _read(b, o.window)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             like = _unit(_dense(x, idf) @ basis) @ latent.T
-            at, to = np.nonzero(like >= o.threshold)
+            near = like >= o.threshold
+            near[_sharing(x, known, within, o.run)] = True
+            at, to = np.nonzero(near)
             for a in range(0, len(at), 20_000):
                 i, j = at[a : a + 20_000], to[a : a + 20_000]
                 w, y = x[i], passages[j]

@@ -200,6 +200,33 @@ def test_leaks_as_brute_force_and_paraphrases(spark):
     assert find_leaks(ddf.limit(0), idf).count() == 0 and find_leaks(ddf, idf.limit(0)).count() == 0
 
 
+def test_leaks_between_words_of_other_items(spark):
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(3000)]
+    # Every item repeats a few words of its own; 12 once-only words of it leak between repeated words of others.
+    items = []
+    for i in range(120):
+        own = rng.sample(vocab, 3)
+        items.append((i, [rng.choice(vocab) for _ in range(24)] + own * 12))
+    docs, want = [], set()
+    for d in range(400):
+        i, j, k = rng.sample(range(120), 3)
+        at = rng.randrange(13)
+        w = items[j][1][24:36] + items[i][1][at : at + 12] + items[k][1][30:42]
+        docs.append((d, " ".join(["pad"] * rng.randrange(12) + w)))
+    ddf = spark.createDataFrame(docs, "doc_id bigint, text string")
+    idf = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, item_text string")
+    grams = [{tuple(w[k : k + 12]) for k in range(len(w) - 11)} for _, w in items]
+    for d, t in docs:
+        w = t.split()
+        g = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+        want |= {(d, i) for i in range(120) if g & grams[i]}
+    assert len(want) >= 1200
+    for paraphrases in (False, True):
+        got = {(r.doc_id, r.item_id) for r in find_leaks(ddf, idf, paraphrases=paraphrases).collect() if r.kind == "exact"}
+        assert got == want
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((900, 16))
