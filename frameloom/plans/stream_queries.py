@@ -326,6 +326,14 @@ def caption_split(spark, sf_dir):
     return c.select("chunk_id", F.col("p.description").alias("description"), F.size("p.watching").alias("n_items"))
 
 
+@query()
+def caption_verdicts(spark, sf_dir):
+    """Every caption, split; the watch-list block has no SQL."""
+    c = chunks(spark, sf_dir).filter("caption is not null and caption <> ''").select("chunk_id", tx.split_caption("caption").alias("p"))
+    items = F.array_sort(F.transform(F.map_entries("p.watching"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return c.select("chunk_id", F.col("p.description").alias("description"), items.alias("items"), F.size("p.watching").alias("n_items"))
+
+
 # --- Time ---------------------------------------------------------------------------------------
 
 

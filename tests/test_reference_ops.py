@@ -65,6 +65,33 @@ def test_caption_blocks(text, description, verdicts):
     assert tx.parse_caption(text) == (description, verdicts)
 
 
+def test_captions_with_watch_lists_are_split(spark, tmp_path):
+    captions = {
+        "a": "A van waits.",
+        "b": "A van. WATCHING:\n- van at dock: present\n- red hat: not visible",
+        "c": "Dark floor. **Watching**: a: absent, b c: present.",
+        "d": "Prose watching: nothing readable here",
+        "e": "",
+        "f": None,
+        "g": "He is watching the door.",
+    }
+    full = spark.read.parquet(f"{SF}/chunks.parquet")
+    rows = spark.createDataFrame(list(captions.items()), "chunk_id string, caption string")
+    made = full.limit(0).unionByName(rows, allowMissingColumns=True)
+    made.write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: (r.description, r["items"], r.n_items) for r in stream_queries.caption_verdicts(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a": ("A van waits.", [], 0),
+        "b": ("A van.", ["red hat: absent", "van at dock: present"], 2),
+        "c": ("Dark floor.", ["a: absent", "b c: present"], 2),
+        "d": (captions["d"], [], 0),
+        "g": (captions["g"], [], 0),
+    }
+    whole = stream_queries.caption_verdicts(spark, SF).collect()
+    assert len(whole) == full.filter("caption <> ''").select("chunk_id").distinct().count()
+    assert sum(r.n_items > 0 for r in whole) > 0
+
+
 def test_item_verdicts_are_three_valued(spark):
     w = F.create_map(F.lit("a van at the dock"), F.lit("present"), F.lit("red hat"), F.lit("absent"))
     assert one(spark, tx.item_verdict(w, F.col("d")), d="van at dock") is True
