@@ -445,6 +445,17 @@ def active_hours(spark, sf_dir):
     return e.select("task_id", "event_id", tf.minute_within(F.col("a"), F.col("z"), "ts", ZONE).alias("active")).filter("active")
 
 
+@query(f"select task_id, m as minute, count(*) as n from (select task_id, cast(active[1:2] as int) * 60 + cast(active[4:5] as int) as a, cast(active[7:8] as int) * 60 + cast(active[10:11] as int) as z from tasks) t, (select hour(l) * 60 + minute(l) as m from (select (ts at time zone 'UTC') at time zone '{ZONE}' as l from events)) e where a = z or (a = 0 and z = 1440) or case when a < z then m >= a and m < z else m >= a or m < z end group by 1, 2")
+def active_minute_counts(spark, sf_dir):
+    """Events met by each task, also those always active, per local minute of the day."""
+    w = tf.active_minutes("active")
+    t = table(spark, sf_dir, "tasks").select("task_id", w["start"].alias("a"), w["end"].alias("z"))
+    e = table(spark, sf_dir, "events").select("ts").crossJoin(F.broadcast(t))  # the standing tasks
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), ZONE)
+    met = e.filter(tf.minute_within(F.col("a"), F.col("z"), "ts", ZONE))
+    return met.groupBy("task_id", (F.hour(local) * 60 + F.minute(local)).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- The motion gate, over small frames made of the vectors --------------------------------------
 
 

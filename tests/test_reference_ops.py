@@ -92,6 +92,13 @@ def test_captions_with_watch_lists_are_split(spark, tmp_path):
     assert sum(r.n_items > 0 for r in whole) > 0
 
 
+def test_tasks_that_are_always_active_meet_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").filter("ts is not null").count()
+    always = {r.task_id for r in spark.read.parquet(f"{SF}/tasks.parquet").filter("active = '00:00-24:00'").collect()}
+    got = {r.task_id: r["sum(n)"] for r in stream_queries.active_minute_counts(spark, SF).groupBy("task_id").sum("n").collect()}
+    assert always and all(got[t] >= events for t in always)
+
+
 def test_item_verdicts_are_three_valued(spark):
     w = F.create_map(F.lit("a van at the dock"), F.lit("present"), F.lit("red hat"), F.lit("absent"))
     assert one(spark, tx.item_verdict(w, F.col("d")), d="van at dock") is True
