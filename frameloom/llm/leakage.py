@@ -21,6 +21,7 @@ lie wholly in one of each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,16 @@ class LeakOptions:
     def item_stride(self) -> int:
         return self.run // 3 + 1
 
+    @property
+    def stride(self) -> int:
+        """At which every item passage lies wholly in a window of its text."""
+        return self.window - self.item_window
+
+    @property
+    def least(self) -> int:
+        """Item words of the shortest paraphrase."""
+        return math.ceil(self.lcs * self.run)
+
 
 def _windows(n: int, width: int, stride: int, least: int) -> np.ndarray:
     """Starts of the windows of a text of n words; none for a text of fewer than ``least``."""
@@ -138,17 +149,18 @@ def _passages(docs: DataFrame, items: _Items, o: LeakOptions, exact: bool) -> Da
                 seen = np.zeros(len(df), dtype=bool)
                 seen[a] = True  # -1 marks the spare last place
                 df += seen
-                if i is None or len(a) < o.run:
+                least = o.run if exact else o.least
+                if i is None or len(a) < least:
                     continue
                 known = np.concatenate([[0], np.cumsum(a >= 0)])
-                starts = _windows(len(a), o.window, o.run, o.run)
+                starts = _windows(len(a), o.window, o.run if exact else o.stride, least)
                 stops = np.minimum(starts + o.window, len(a))
                 if exact:  # the window must hold a run of item words
                     full = np.concatenate([[0], np.cumsum(known[o.run :] - known[: -o.run] == o.run)])
                     lasts = np.maximum(stops - o.run + 1, starts)
                     keep = full[lasts] > full[starts]
                 else:  # the window must hold that many item words
-                    keep = known[stops] - known[starts] >= o.run
+                    keep = known[stops] - known[starts] >= least
                 starts = starts[keep]
                 if len(starts):
                     rows += [(0, i, int(s), w.tobytes(), 0) for s, w in zip(starts, _fill(a, starts, o.window))]

@@ -227,6 +227,20 @@ def test_leaks_between_words_of_other_items(spark):
         assert got == want
 
 
+def test_paraphrases_of_short_items_and_at_every_offset(spark):
+    common = [f"c{k}" for k in range(13)]
+    short = common[:9] + ["r1", "r2", "r3"]
+    whole = common + ["s1", "s2", "s3"]
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(whole))], "item_id bigint, item_text string")
+    swap = lambda w, at: [("other" if k in at else x) for k, x in enumerate(w)]
+    docs = [(100 + k, " ".join(common)) for k in range(20)]
+    docs += [(0, " ".join(swap(short, [3, 6]))), (1, " ".join(["pad"] * 40 + swap(short, [3, 6]) + ["pad"] * 40)), (2, " ".join(swap(short, [3, 4, 6]))), (3, " ".join(short[:3] + short[4:6] + short[7:]))]
+    docs += [(10 + k, " ".join(["pad"] * k + swap(whole, [6, 7, 8]) + ["pad"] * 40)) for k in range(12)]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect() if r.kind == "paraphrase"}
+    assert {(0, 1), (1, 1), (3, 1)} <= got and (2, 1) not in got
+    assert {(10 + k, 2) for k in range(12)} <= got
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((900, 16))
