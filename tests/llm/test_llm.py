@@ -309,6 +309,13 @@ def test_greedy_search_recall(spark):
     assert greedy_search(NeighbourGraph(df.limit(0), GraphOptions(dims=16)), df.limit(1)).count() == 0
 
 
+def test_search_queries_depend_on_the_record_only(spark):
+    c = spark.read.parquet(f"{SF}/chunks.parquet")
+    full = c.filter("chunk_id is not null and size(embedding) = 64 and exists(embedding, x -> x <> 0)")
+    want = {r[0] for r in full.filter("pmod(xxhash64(chunk_id), 100) = 0").select("chunk_id").collect()}
+    assert want and {r.chunk_id for r in queries.p6_search(spark, SF).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
