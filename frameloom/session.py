@@ -68,11 +68,25 @@ def input_cores(spark: SparkSession) -> int:
 
 
 
+#: Spark drops the shuffle files of a finished query at once where this is on.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage with a compressed, columnar table written to the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage with a compressed, columnar table written to the shared folder.
+
+    The shuffle files of the write are dropped when it ends, as only the table
+    is read from then on.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
