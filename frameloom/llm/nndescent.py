@@ -50,8 +50,8 @@ class GraphOptions:
 
     dims: int = 64
     keep: int = 20
-    cells: int = 5
-    cell_keep: int = 10
+    cells: int = 6
+    cell_keep: int = 6
     pivot_rows: int = 1000
     fit_rows: int = 128
     max_pivots: int = 262_144
@@ -61,9 +61,9 @@ class GraphOptions:
     part_rows: int = 20_000
     rounds: int = 30
     least_change: float = 0.01
-    forward: int = 8
-    reverse: int = 8
-    slices: int = 4
+    forward: int = 6
+    reverse: int = 6
+    slices: int = 3
     seed: int = 11
 
 
@@ -202,6 +202,7 @@ def usable(vectors: DataFrame, dims: int) -> DataFrame:
                 part = b.slice(at, 8192)
                 if not part.num_rows:
                     continue
+                # A null among the numbers comes out as not a number.
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 ok = np.isfinite(x).all(1) & (x != 0).any(1)
                 x = x / np.maximum(np.abs(x).max(1, keepdims=True, initial=0), 1e-300)
@@ -211,7 +212,7 @@ def usable(vectors: DataFrame, dims: int) -> DataFrame:
                 mask = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), _binary(q).filter(mask)], names=["rec", "q"])
 
-    full = F.col("v").isNotNull() & (F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull())
+    full = F.col("v").isNotNull() & (F.size("v") == dims)
     rows = vectors.select(F.col("rec").cast("string").alias("rec"), F.col("v").cast("array<double>").alias("v")).filter(F.col("rec").isNotNull() & full)
     return rows.mapInArrow(run, "rec string, q binary").groupBy("rec").agg(F.min("q").alias("q"))
 
@@ -381,10 +382,10 @@ def _merge(o: GraphOptions, bits: int, old: bool):
         entry = np.concatenate([e.ravel() for _, e in got.values()])
         if not len(owner):
             return
+        own = np.unique(owner)
         owner, entry, rank = _best_entries(owner[entry > 0], entry[entry > 0], o.keep, bits)
-        own, at = np.unique(owner, return_inverse=True)
         out = np.zeros((len(own), o.keep), np.int64)
-        out[at, rank] = entry
+        out[np.searchsorted(own, owner), rank] = entry
         for a in range(0, len(own), 8192):
             yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 8192]), _binary(out[a : a + 8192])], names=["id", "list"])
 
@@ -587,9 +588,11 @@ class NeighbourGraph:
         self.pivots = fit_pivots(raw, self.n, o)
         self.nodes = materialize(self._with_cells(raw), "nodes")
         discard(raw)
-        messages = _exchange(self._cell_messages(), self.parts).mapInArrow(_cell_lists(o, self.parts), _MESSAGE)
-        single = _exchange(self.nodes.select("id").mapInArrow(self._nothing(), _MESSAGE).unionByName(messages), self.parts)
-        self.lists = materialize(single.mapInArrow(_merge(o, self.bits, False), _LIST), "graph")
+        # In two written steps, so that the vectors' shuffle is gone when the lists are moved.
+        found = materialize(_exchange(self._cell_messages(), self.parts).mapInArrow(_cell_lists(o, self.parts), _MESSAGE), "cells")
+        single = self.nodes.select("id").mapInArrow(self._nothing(), _MESSAGE).unionByName(found)
+        self.lists = materialize(_exchange(single, self.parts).mapInArrow(_merge(o, self.bits, False), _LIST), "graph")
+        discard(found)
         for k in range(o.rounds):
             better = [materialize(self._descend(k, s), "better") for s in range(o.slices)]
             found = self.lists.mapInArrow(_old_lists(o, self.parts), _MESSAGE)
