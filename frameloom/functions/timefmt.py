@@ -89,10 +89,19 @@ def active_minutes(spec: Column | str) -> Column:
     return F.get(F.transform(F.array(parts), window), F.lit(0))
 
 
+def local_minute(t: Column | str, zone: str) -> Column:
+    """Minute of the local day."""
+    local = F.from_utc_timestamp(_ts(t), zone)
+    return F.hour(local) * 60 + F.minute(local)
+
+
 def minute_within(start: Column, end: Column, t: Column | str, zone: str) -> Column:
     """Whether the local time lies in ``[start, end)`` of minutes; wraps midnight, equal ends mean all day; null without a window."""
-    local = F.from_utc_timestamp(_ts(t), zone)
-    m = F.hour(local) * 60 + F.minute(local)
+    return minute_in(start, end, local_minute(t, zone))
+
+
+def minute_in(start: Column, end: Column, m: Column) -> Column:
+    """:func:`minute_within` of a minute that is known."""
     whole = (start == end) | ((start == 0) & (end == 1440))
     return F.when(whole, True).when(start < end, (m >= start) & (m < end)).when(start.isNotNull() & end.isNotNull(), (m >= start) | (m < end))
 

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.text import STOP_CONFIRM, coverage, item_verdict, split_caption, term_set
-from frameloom.functions.timefmt import active_minutes, minute_within
-from frameloom.functions.vector import cosine
+from frameloom.functions.text import STOP_CONFIRM, coverage, item_verdict, term_set, watch_block, watch_items
+from frameloom.functions.timefmt import active_minutes, local_minute, minute_in
+from frameloom.functions.vector import dot, norm
+from frameloom.session import discard, materialize
 
 US = 1_000_000
 
@@ -30,52 +31,76 @@ class FunnelOptions:
 
 
 def pair_with_tasks(chunks: DataFrame, tasks: DataFrame, o: FunnelOptions) -> DataFrame:
-    """Every chunk against every standing query (J1). The tasks are a stated query set; their number is checked before they are broadcast."""
+    """Every chunk against every standing query.
+
+    The tasks are a stated query set; their number is checked before they are
+    broadcast. What depends on one side only (norms, words, the local minute,
+    the watch list) is worked out before the two meet.
+    """
     n = tasks.limit(o.max_tasks + 1).count()
     if n > o.max_tasks:
         raise ValueError(f"more than {o.max_tasks} tasks; evaluate them in blocks")
     w = active_minutes("active")
-    parsed = tasks.withColumn("active_from", w["start"]).withColumn("active_to", w["end"]).withColumn("_wanted", term_set("describe_text", STOP_CONFIRM))
-    return chunks.crossJoin(F.broadcast(parsed))
+    parsed = tasks.withColumn("active_from", w["start"]).withColumn("active_to", w["end"]).withColumn("_wanted", term_set("describe_text", STOP_CONFIRM)).withColumn("_task_norm", norm("task_embedding"))
+    caption = F.coalesce("caption", F.lit(""))
+    seen = ~F.coalesce("gated", F.lit(True)) & (caption != "")
+    told = chunks.withColumn("seen", seen).withColumn("_minute", local_minute("t_start", o.zone))
+    told = told.withColumn("_norm", F.when(F.col("seen"), norm("embedding"))).withColumn("_terms", F.when(F.col("seen"), term_set(caption, STOP_CONFIRM))).withColumn("_watching", F.when(F.col("seen") & F.lower(caption).contains("watching"), watch_items(watch_block(caption))))
+    return told.crossJoin(F.broadcast(parsed))
 
 
 def stage_columns(pairs: DataFrame, o: FunnelOptions, *, watchlists: bool = False) -> DataFrame:
-    """Adds stage1_score, stage1, stage2 and ``ok`` (ST3).
+    """Adds awake, stage1_score, stage1 and ``ok`` to the pairs of :func:`pair_with_tasks` and drops vectors and word lists (ST3).
 
-    ``pairs``: of :func:`pair_with_tasks`, with the task's task_embedding. A stated watch-list verdict outranks the cosine; null is no
-    verdict. A row without a caption counts as gated.
+    A stated watch-list verdict outranks the cosine; null is no verdict. A row
+    without a caption counts as gated. Only pairs that are awake and seen are
+    scored.
     """
-    caption = F.coalesce("caption", F.lit(""))
-    awake = F.coalesce("enabled", F.lit(False)) & F.coalesce(minute_within(F.col("active_from"), F.col("active_to"), "t_start", o.zone), F.lit(False))
-    seen = ~F.coalesce("gated", F.lit(True)) & (caption != "")
-    score = F.round(cosine("task_embedding", "embedding", same_length=True), 9)
-    score = F.coalesce(score, F.lit(0.0))
+    awake = F.coalesce("enabled", F.lit(False)) & F.coalesce(minute_in(F.col("active_from"), F.col("active_to"), F.col("_minute")), F.lit(False))
+    like = (F.col("_norm") > 0) & (F.col("_task_norm") > 0) & (F.size("embedding") == F.size("task_embedding")) & (F.size("embedding") > 0)
+    score = F.coalesce(F.round(F.when(like, dot("task_embedding", "embedding") / (F.col("_task_norm") * F.col("_norm"))).otherwise(0.0), 9), F.lit(0.0))
+    stage1 = F.col("stage1_score") >= o.stage1
     if watchlists:
-        stated = item_verdict(split_caption("caption")["watching"], "describe_text")
+        stated = item_verdict(F.col("_watching"), "describe_text")
         score = F.when(stated.isNotNull(), stated.cast("double")).otherwise(score)
-        stage1 = F.when(stated.isNotNull(), stated).otherwise(score >= o.stage1)
-    else:
-        stage1 = score >= o.stage1
-    out = pairs.withColumn("awake", awake).withColumn("seen", seen).withColumn("stage1_score", F.when(awake & seen, score)).withColumn("stage1", awake & seen & stage1)
-    stage2 = coverage(F.col("_wanted"), term_set(caption, STOP_CONFIRM)) >= o.stage2
-    return out.withColumn("ok", F.col("stage1") & stage2)
+        stage1 = F.coalesce(stated, stage1)
+    out = pairs.withColumn("awake", awake).withColumn("stage1_score", F.when(F.col("awake") & F.col("seen"), score)).withColumn("stage1", F.coalesce(F.col("awake") & F.col("seen") & stage1, F.lit(False)))
+    out = out.withColumn("ok", F.when(F.col("stage1"), coverage(F.col("_wanted"), F.col("_terms")) >= o.stage2).otherwise(False))
+    return out.drop("embedding", "task_embedding", "_wanted", "_terms", "_watching", "_minute", "_norm", "_task_norm")
+
+
+def _bucket(o: FunnelOptions) -> Column:
+    return F.floor(F.unix_seconds(F.col("t_start").cast("timestamp")) / F.lit(o.bucket_s)).cast("long")
 
 
-def sustained(rows: DataFrame, o: FunnelOptions, *, key: str = "task_id") -> DataFrame:
+def _running(rows: DataFrame, keys: list[str], n: Column, name: str, o: FunnelOptions) -> DataFrame:
+    """Adds the running sum of ``n`` in order of (t_start, chunk_id), per key if keys are given: a prefix sum over time buckets and one inside each, so that no key is one task."""
+    rows = rows.withColumn("_b", _bucket(o))
+    before = rows.groupBy(*keys, "_b").agg(F.sum(n).alias("_n"))
+    so_far = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(*keys, "_b", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("t_start", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_in", F.sum(n).over(inside)).join(before, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_before", "_in")
+
+
+def sustained(rows: DataFrame, o: FunnelOptions, *, key: str = "task_id", stream: DataFrame | None = None) -> DataFrame:
     """Adds run, run_since, held_s, promoted and ``requests`` to the rows that are ok.
 
     A run is broken by any row of the key that is not ok, not by a hole in
     time. Rows are in order of (t_start, chunk_id); a run's number is the count
-    of breaks before it, as a prefix sum over time buckets and one inside each,
-    so a key's rows are spread over many tasks.
+    of breaks before it. Where every key meets every row of one ``stream``
+    (chunk_id once each, t_start), the breaks before a row are the rows of the
+    stream up to it less the key's ok rows up to it, so of the pairs only those
+    that are ok move; without it, the breaks of each key are counted.
     """
-    bucket = F.floor(F.unix_seconds(F.col("t_start").cast("timestamp")) / F.lit(o.bucket_s)).cast("long")
-    rows = rows.withColumn("_b", bucket)
-    brk = (~F.col("ok")).cast("long")
-    before = rows.groupBy(key, "_b").agg(F.sum(brk).alias("_n"))
-    before = before.select(key, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key, "_b").orderBy("t_start", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits = rows.withColumn("_in", F.sum(brk).over(inside)).filter("ok").join(before, [key, "_b"]).withColumn("run", F.col("_before") + F.col("_in")).drop("_b", "_before", "_in")
+    one = F.lit(1).cast("long")
+    if stream is None:
+        hits = materialize(_running(rows.withColumn("ok", F.coalesce("ok", F.lit(False))), [key], (~F.col("ok")).cast("long"), "run", o).filter("ok"), "runs")
+    else:
+        ok = materialize(rows.filter("ok"), "hits")
+        places = _running(stream.select("chunk_id", "t_start"), [], one, "_at", o).select("chunk_id", "_at")
+        hits = materialize(_running(ok, [key], one, "_nth", o).join(places, "chunk_id").withColumn("run", F.col("_at") - F.col("_nth")).drop("_at", "_nth"), "runs")
+        discard(ok)
     since = hits.groupBy(key, "run").agg(F.min("t_start").alias("run_since"))
     held = (F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("run_since").cast("timestamp"))) / F.lit(1e6)
     out = hits.join(since, [key, "run"]).withColumn("held_s", held).withColumn("requests", F.col("held_s") >= F.col("window_s"))
@@ -145,7 +170,7 @@ def brakes(requests: DataFrame, *, pad_s: float = 5.0) -> DataFrame:
 def funnel_requests(chunks: DataFrame, tasks: DataFrame, o: FunnelOptions | None = None, *, watchlists: bool = False) -> DataFrame:
     """Requests of all standing queries, with the act at the end of the requesting chunk (no wall clock in replay)."""
     o = o or FunnelOptions()
-    rows = sustained(stage_columns(pair_with_tasks(chunks, tasks, o), o, watchlists=watchlists), o).filter("requests")
+    rows = sustained(stage_columns(pair_with_tasks(chunks, tasks, o), o, watchlists=watchlists), o, stream=chunks).filter("requests")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return rows.select(F.concat_ws("|", "task_id", "action").alias("key"), us("run_since").alias("t0"), us("t_end").alias("t1"), F.concat_ws("|", "chunk_id", "task_id").alias("id"), us("t_end").alias("act"), (F.col("cooldown") * US).cast("long").alias("cooldown_us"))
 

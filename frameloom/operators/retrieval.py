@@ -32,7 +32,7 @@ def overlaps(t_from=None, t_to=None, start: str = "t_start", end: str = "t_end")
     return out
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], *, id_col: str, vec_col: str, k: int, digits: int = 9) -> DataFrame:
+def cosine_topk(vectors: DataFrame, query: list[float], *, id_col: str, vec_col: str, k: int, digits: int = 9, repeats: bool = False) -> DataFrame:
     """The k rows most similar to a query vector, ties by id (O1). One pass with a bounded heap per task.
 
     Scores are rounded before ordering, so that the order doesn't hang on the
@@ -40,6 +40,9 @@ def cosine_topk(vectors: DataFrame, query: list[float], *, id_col: str, vec_col:
     """
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors.filter(F.size(vec_col) > 0).withColumn("ann_score", F.round(cosine(vec_col, q), digits))
+    rows = rows.drop(vec_col)
+    if repeats:
+        rows = rows.dropDuplicates([id_col])
     return rows.orderBy(F.desc("ann_score"), F.col(id_col)).limit(k)
 
 
@@ -80,12 +83,13 @@ def recency_blend(ranked: DataFrame, *, order: list[Column], options: SearchOpti
 
 
 def search(
-    chunks: DataFrame, query: str, vector: list[float] | None = None, *, t_from=None, t_to=None, tier: str | None = "live", options: SearchOptions | None = None, dims: int = 64
+    chunks: DataFrame, query: str, vector: list[float] | None = None, *, t_from=None, t_to=None, tier: str | None = "live", options: SearchOptions | None = None, dims: int = 64, repeats: bool = False
 ) -> DataFrame:
     """Embed, filter, cosine top-k, rerank, blend, top-n (Q1).
 
     ``vector`` replaces the feature-hash embedding of the query. Only captioned
-    rows with a vector take part. After the top-k everything works on at most
+    rows with a vector take part; with ``repeats`` a chunk_id may come again and
+    counts once. After the top-k everything works on at most
     ``ann_k`` rows, so the unpartitioned windows of the later stages are small.
     """
     o = options or SearchOptions()
@@ -94,7 +98,7 @@ def search(
     rows = chunks.filter(overlaps(t_from, t_to)).filter((~F.col("gated")) & (F.size("embedding") > 0))
     if tier is not None:
         rows = rows.filter(F.col("tier") == tier)
-    top = cosine_topk(rows, v, id_col="chunk_id", vec_col="embedding", k=o.ann_k, digits=o.digits).drop("embedding")
+    top = cosine_topk(rows, v, id_col="chunk_id", vec_col="embedding", k=o.ann_k, digits=o.digits, repeats=repeats)
     ranked = lexical_rerank(top, words, text_col="caption", digits=o.digits)
     order = [F.desc("rerank_score"), F.desc("ann_score"), F.col("chunk_id")]
     return recency_blend(ranked, order=order, options=o).filter(F.col("rank") < o.top_n)
@@ -106,11 +110,12 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def browse(chunks: DataFrame, *, gated: bool | None = None, contains: str = "", tier: str | None = None, t_from=None, t_to=None, newest_first: bool = True, offset: int = 0, limit: int = 25) -> tuple[DataFrame, DataFrame]:
+def browse(chunks: DataFrame, *, gated: bool | None = None, contains: str = "", tier: str | None = None, t_from=None, t_to=None, newest_first: bool = True, offset: int = 0, limit: int = 25, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(page, total)``: a page of rows in order of (t_start, chunk_id), and the count without paging.
 
     ``contains`` is a plain, case-insensitive part of the caption; blank means
-    no filter. Negative offsets and limits count as 0.
+    no filter. Negative offsets and limits count as 0. With ``repeats`` a
+    chunk_id may come again and counts once, after the filters.
     """
     rows = chunks.filter(overlaps(t_from, t_to))
     if gated is not None:
@@ -120,6 +125,8 @@ def browse(chunks: DataFrame, *, gated: bool | None = None, contains: str = "",
     needle = contains.strip().lower()
     if needle:
         rows = rows.filter(F.lower("caption").contains(needle))
+    if repeats:
+        rows = rows.dropDuplicates(["chunk_id"])
     way = F.desc if newest_first else F.asc
     page = rows.orderBy(way("t_start"), way("chunk_id")).offset(max(0, offset)).limit(max(0, limit))
     return page, rows.agg(F.count(F.lit(1)).alias("total"))

@@ -20,11 +20,25 @@ T_FROM, T_TO = "2026-01-05 02:00:00", "2026-01-05 06:00:00"
 CUTOFF = "2026-01-05 04:00:00"
 
 
-def chunks(spark: SparkSession, sf_dir: str, *, vectors: bool = False) -> DataFrame:
-    """Chunks once each, with canonical camera and segment, and times also in microseconds."""
+def chunks(spark: SparkSession, sf_dir: str, *, vectors: bool = False, repeats: bool = False, where: str | None = None, t_from: str | None = None, t_to: str | None = None) -> DataFrame:
+    """Chunks once each, with canonical camera and segment, and times also in microseconds.
+
+    Rows of one chunk_id are equal, so filters may go before they are made
+    distinct: ``where`` is a condition on the columns as stored, ``t_from`` and
+    ``t_to`` bound the overlap in time; both reach the scan. With ``repeats``
+    the rows are left as they come.
+    """
     c = table(spark, sf_dir, "chunks")
+    at = lambda name, text: F.lit(text).cast(c.schema[name].dataType)
+    if t_from is not None:
+        c = c.filter(F.col("t_end") >= at("t_end", t_from))
+    if t_to is not None:
+        c = c.filter(F.col("t_start") <= at("t_start", t_to))
+    if where is not None:
+        c = c.filter(where)
     cols = ["chunk_id", canon_id("camera_id").alias("camera_id"), F.col("t_start").cast("timestamp").alias("t_start"), F.col("t_end").cast("timestamp").alias("t_end"), micros("t_start").alias("start_us"), micros("t_end").alias("end_us"), canon_file("segment").alias("segment"), "pts_offset", "tier", "gated", "caption"]
-    return c.select(*cols, *(["embedding"] if vectors else [])).dropDuplicates(["chunk_id"])
+    c = c.select(*cols, *(["embedding"] if vectors else []))
+    return c if repeats else c.dropDuplicates(["chunk_id"])
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,32 +102,32 @@ _PAGE = ["chunk_id", "camera_id", "start_us", "gated", "caption"]
 
 @query(f"with {_CH} select chunk_id, camera_id, start_us, gated, caption from ch order by t_start desc nulls last, chunk_id desc limit 25 offset 50")
 def browse_page(spark, sf_dir):
-    return retrieval.browse(chunks(spark, sf_dir), offset=50, limit=25)[0].select(*_PAGE)
+    return retrieval.browse(chunks(spark, sf_dir, repeats=True), offset=50, limit=25, repeats=True)[0].select(*_PAGE)
 
 
 @query(f"with {_CH} select chunk_id, camera_id, start_us, gated, caption from ch where contains(lower(caption), 'crane track') order by t_start desc, chunk_id desc limit 200")
 def browse_contains(spark, sf_dir):
-    return retrieval.browse(chunks(spark, sf_dir), contains="  Crane Track ", limit=200)[0].select(*_PAGE)
+    return retrieval.browse(chunks(spark, sf_dir, repeats=True), contains="  Crane Track ", limit=200, repeats=True)[0].select(*_PAGE)
 
 
 @query(f"with {_CH} select chunk_id, camera_id, start_us, gated, caption from ch where gated order by t_start desc, chunk_id desc limit 25")
 def browse_gated_only(spark, sf_dir):
-    return retrieval.browse(chunks(spark, sf_dir), gated=True)[0].select(*_PAGE)
+    return retrieval.browse(chunks(spark, sf_dir, repeats=True), gated=True, repeats=True)[0].select(*_PAGE)
 
 
 @query(f"with {_CH} select chunk_id, camera_id, start_us, gated, caption from ch where tier = 'live' and t_start is not null order by t_start, chunk_id limit 25")
 def browse_oldest_first(spark, sf_dir):
-    return retrieval.browse(chunks(spark, sf_dir).filter("t_start is not null"), tier="live", newest_first=False)[0].select(*_PAGE)
+    return retrieval.browse(chunks(spark, sf_dir, repeats=True, where="t_start is not null"), tier="live", newest_first=False, repeats=True)[0].select(*_PAGE)
 
 
 @query(f"with {_CH}, t as (select count(*) as total from ch where contains(lower(caption), 'crane track')) select total, 50 as page_size, cast(ceil(total / 50) as bigint) as pages, case when 2 <= ceil(total / 50) then 2 else 0 end as page from t")
 def browse_page_numbers(spark, sf_dir):
-    return retrieval.page_numbers(retrieval.browse(chunks(spark, sf_dir), contains="crane track")[1], 2, 50)
+    return retrieval.page_numbers(retrieval.browse(chunks(spark, sf_dir, repeats=True), contains="crane track", repeats=True)[1], 2, 50)
 
 
 @query(f"with {_CH} select chunk_id, start_us, end_us from ch where t_end >= timestamp '{T_FROM}' and t_start <= timestamp '{T_TO}'")
 def overlap_filter(spark, sf_dir):
-    return chunks(spark, sf_dir).filter(retrieval.overlaps(_ts(T_FROM), _ts(T_TO))).select("chunk_id", "start_us", "end_us")
+    return chunks(spark, sf_dir, t_from=T_FROM, t_to=T_TO).select("chunk_id", "start_us", "end_us")
 
 
 def _ts(text: str):
@@ -128,7 +142,7 @@ def _us(text: str) -> int:
 
 @query(f"with {_CH} select chunk_id from ch where t_end <= timestamp '{CUTOFF}'")
 def select_before_cutoff(spark, sf_dir):
-    return chunks(spark, sf_dir).filter(F.col("end_us") <= _us(CUTOFF)).select("chunk_id")
+    return chunks(spark, sf_dir, where=f"t_end <= timestamp_ntz '{CUTOFF}'").select("chunk_id")
 
 
 @query(f"""with {_CH}, i as (select chunk_id, row_number() over (order by chunk_id) as r from ch order by chunk_id limit 3),
@@ -201,8 +215,8 @@ f as (select *, row_number() over (order by combined desc, pos) - 1 as rank from
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    rows = chunks(spark, sf_dir, vectors=True).filter("not gated and tier = 'live'").filter(F.size("embedding") == 64)
-    return retrieval.cosine_topk(rows, _seed_vector(spark, sf_dir), id_col="chunk_id", vec_col="embedding", k=60, digits=6).drop("embedding")
+    rows = chunks(spark, sf_dir, vectors=True, repeats=True, where="not gated and tier = 'live' and size(embedding) = 64")
+    return retrieval.cosine_topk(rows, _seed_vector(spark, sf_dir), id_col="chunk_id", vec_col="embedding", k=60, digits=6, repeats=True)
 
 
 _QWORDS = QUESTION.split()
@@ -236,7 +250,7 @@ def recency_blend(spark, sf_dir):
 @query(f"with {_CAND} select chunk_id, ann_score, rerank_score, combined, rank from f where rank < 5")
 def hybrid_search(spark, sf_dir):
     o = retrieval.SearchOptions(digits=6)
-    return retrieval.search(chunks(spark, sf_dir, vectors=True).filter(F.size("embedding") == 64), QUESTION, _seed_vector(spark, sf_dir), options=o).select("chunk_id", "ann_score", "rerank_score", "combined", "rank")
+    return retrieval.search(chunks(spark, sf_dir, vectors=True, repeats=True, where="size(embedding) = 64"), QUESTION, _seed_vector(spark, sf_dir), options=o, repeats=True).select("chunk_id", "ann_score", "rerank_score", "combined", "rank")
 
 
 @query()
@@ -255,7 +269,7 @@ def hash_embed_norms(spark, sf_dir):
 
 @query(f"with {_CH} select segment, camera_id, min(start_us) as first_us, count(*) as n from ch where t_end > timestamp '{T_FROM}' and t_start < timestamp '{T_TO}' and coalesce(segment, '') <> '' group by 1, 2")
 def segments_in_range_strip(spark, sf_dir):
-    return timeline.strip(chunks(spark, sf_dir), _ts(T_FROM), _ts(T_TO)).select("segment", "camera_id", F.unix_micros("first_start").alias("first_us"), "n")
+    return timeline.strip(chunks(spark, sf_dir, t_from=T_FROM, t_to=T_TO), _ts(T_FROM), _ts(T_TO)).select("segment", "camera_id", F.unix_micros("first_start").alias("first_us"), "n")
 
 
 # --- Text ---------------------------------------------------------------------------------------
@@ -298,7 +312,7 @@ g as (select job_id, question, len(w) as n, len(list_intersect(w, seen)) as k, l
 
 
 def _grounding(spark, sf_dir) -> DataFrame:
-    c = chunks(spark, sf_dir).filter("not gated and caption is not null").filter(retrieval.overlaps(_ts(T_FROM), _ts(T_TO)))
+    c = chunks(spark, sf_dir, where="not gated and caption is not null", t_from=T_FROM, t_to=T_TO)
     # The distinct words of the context: a vocabulary, gathered by a partial aggregate.
     seen = c.select(F.explode(tx.term_set("caption")).alias("w")).groupBy("w").count()
     q = table(spark, sf_dir, "jobs").filter("question is not null").select("job_id", "question").distinct()
@@ -320,20 +334,38 @@ def detail_terms_missing(spark, sf_dir):
     return _grounding(spark, sf_dir).filter(F.size("missing") > 0).select("job_id", "missing")
 
 
-@query(f"""with {_CH}, c as (select chunk_id, caption, lower(caption) as l from ch where caption is not null and caption <> '') select chunk_id, trim(caption, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(8202) || chr(8239) || chr(12288)) as description, 0 as n_items from c where not regexp_matches(l, 'watching')""")
-def caption_split(spark, sf_dir):
-    c = chunks(spark, sf_dir).filter("caption is not null and caption <> '' and not lower(caption) like '%watching%'").select("chunk_id", tx.split_caption("caption").alias("p"))
-    return c.select("chunk_id", F.col("p.description").alias("description"), F.size("p.watching").alias("n_items"))
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(8202) || chr(8239) || chr(12288)"
+_BARE = "regexp_replace({}, '^[\\s*•,;.-]+|[\\s*•,;.-]+$', '', 'g')"
+_WORD = r"(not\s+present|not\s+visible|present|absent|yes|no)"
+# The block is parsed line by line, as in the operator: one item with its verdict, or else any number of them.
+_SPLIT = rf"""with {_CH}, c as (select chunk_id, caption, regexp_extract(caption, '(?is)^(.*?(?:^|[\s.;]))[\s*#>-]*watching\s*\**\s*:(.*)$', ['d', 'b']) as h from ch where caption is not null and caption <> ''),
+l as (select chunk_id, unnest(string_split_regex(h.b, '\r\n|[\n\r]')) as line, generate_subscripts(string_split_regex(h.b, '\r\n|[\n\r]'), 1) as i from c where h.b <> ''),
+v as (select *, regexp_extract(line, '(?i)^[\s*•\d.)-]*([^:\s](?:[^:]*?[^:\s])?)\s*[:—-]\s*\**{_WORD}\**\s*[.,]?\s*$', ['k', 'v']) as one from l),
+e as (select chunk_id, i, 1 as j, regexp_replace(one.k, '^\*+|\*+$', '', 'g') as k, one.v as v from v where one.v <> ''
+  union all select chunk_id, i, unnest(range(1, len(ks) + 1)), unnest(ks), unnest(vs) from (
+    select chunk_id, i, list_transform(regexp_extract_all(line, '(?i)([^:;]+?)\s*[:—]\s*{_WORD}\b', 1), lambda x: {_BARE.format('x')}) as ks, regexp_extract_all(line, '(?i)([^:;]+?)\s*[:—]\s*{_WORD}\b', 2) as vs from v where one.v = '')),
+w as (select chunk_id, k, case when lower(arg_max(v, row(i, j))) in ('present', 'yes') then 'present' else 'absent' end as v from e where k <> '' group by 1, 2),
+s as (select chunk_id, list_sort(list(k || ': ' || v)) as items from w group by 1),
+sp as (select chunk_id, case when items is not null and trim(h.d, {_BLANK}) <> '' then trim(h.d, {_BLANK}) else trim(caption, {_BLANK}) end as description, coalesce(items, []) as items from c left join s using (chunk_id))"""
 
 
-@query()
-def caption_verdicts(spark, sf_dir):
-    """Every caption, split; the watch-list block has no SQL."""
-    c = chunks(spark, sf_dir).filter("caption is not null and caption <> ''").select("chunk_id", tx.split_caption("caption").alias("p"))
+def _split_captions(spark, sf_dir) -> DataFrame:
+    c = chunks(spark, sf_dir, where="caption <> ''").select("chunk_id", tx.split_caption("caption").alias("p"))
     items = F.array_sort(F.transform(F.map_entries("p.watching"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return c.select("chunk_id", F.col("p.description").alias("description"), items.alias("items"), F.size("p.watching").alias("n_items"))
 
 
+@query(_SPLIT + " select chunk_id, description, len(items)::int as n_items from sp")
+def caption_split(spark, sf_dir):
+    return _split_captions(spark, sf_dir).drop("items")
+
+
+@query(_SPLIT + " select chunk_id, description, items, len(items)::int as n_items from sp")
+def caption_verdicts(spark, sf_dir):
+    """Every caption, split, with the verdicts of its watch-list block."""
+    return _split_captions(spark, sf_dir)
+
+
 # --- Time ---------------------------------------------------------------------------------------
 
 
@@ -400,7 +432,7 @@ i as (select chunk_id as key, camera_id, start_us as t from ch where camera_id i
 h as (select key, arg_max(path, row(s.start_us, path)) as path, max(s.start_us) as st from i join se s on i.camera_id = s.camera_id and s.start_us <= t and t < eff_end group by key)
 select i.key, i.camera_id, i.t, h.path, (t - st) / 1e6 as pts_offset from i left join h on i.key = h.key""")
 def segment_of_instant(spark, sf_dir):
-    i = chunks(spark, sf_dir).filter("camera_id is not null and start_us is not null").select(F.col("chunk_id").alias("key"), "camera_id", F.col("start_us").alias("t"))
+    i = chunks(spark, sf_dir, where="camera_id is not null and t_start is not null").select(F.col("chunk_id").alias("key"), "camera_id", F.col("start_us").alias("t"))
     return timeline.segment_of_instant(i, segments(spark, sf_dir))
 
 
@@ -411,12 +443,12 @@ def archive_bounds(spark, sf_dir):
 
 @query(f"with {_CH} select chunk_id, case when epoch_us(t_start) % 1000000 = 0 then strftime(t_start, '%Y-%m-%dT%H:%M:%SZ') else strftime(t_start, '%Y-%m-%dT%H:%M:%S.%fZ') end as iso from ch where t_start is not null")
 def iso_format(spark, sf_dir):
-    return chunks(spark, sf_dir).filter("t_start is not null").select("chunk_id", tf.iso("t_start").alias("iso"))
+    return chunks(spark, sf_dir, where="t_start is not null").select("chunk_id", tf.iso("t_start").alias("iso"))
 
 
 @query(f"with {_CH} select chunk_id, camera_id || '_' || strftime(t_start, '%Y%m%dT%H%M%S') || '_' || strftime(t_end, '%H%M%S') as made from ch where camera_id is not null and t_start is not null and t_end is not null")
 def chunk_id_format(spark, sf_dir):
-    return chunks(spark, sf_dir).filter("camera_id is not null and t_start is not null and t_end is not null").select("chunk_id", tf.chunk_id("camera_id", "t_start", "t_end").alias("made"))
+    return chunks(spark, sf_dir, where="camera_id is not null and t_start is not null and t_end is not null").select("chunk_id", tf.chunk_id("camera_id", "t_start", "t_end").alias("made"))
 
 
 @query("select cast(n as bigint) as attempt, least(60.0, power(2.0, n - 1)) as delay_s from range(1, 13) t(n)")

@@ -157,7 +157,7 @@ def confidence_coverage(spark, sf_dir):
 @query(f"with {_CH}, h as (select segment, min(start_us) - 5000000 as a, max(end_us) + 5000000 as z from ch where not gated and coalesce(segment, '') <> '' group by 1) select segment, greatest(a, z - 15000000) as t0, z as t1, z - a > 15000000 as clamped from h")
 def deep_range_selection(spark, sf_dir):
     """The range to watch again for the windows of each segment: padded, and clamped to its end."""
-    c = chunks(spark, sf_dir).filter("not gated and coalesce(segment, '') <> ''")
+    c = chunks(spark, sf_dir, where="not gated").filter("coalesce(segment, '') <> ''")
     pad, most = 5 * funnel.US, 15 * funnel.US
     h = c.groupBy("segment").agg((F.min("start_us") - pad).alias("a"), (F.max("end_us") + pad).alias("z"))
     return h.select("segment", F.greatest("a", F.col("z") - most).alias("t0"), F.col("z").alias("t1"), (F.col("z") - F.col("a") > most).alias("clamped"))
@@ -212,9 +212,12 @@ def tasks(spark, sf_dir) -> DataFrame:
 _O = funnel.FunnelOptions()
 
 
+def _stream(spark, sf_dir) -> DataFrame:
+    return chunks(spark, sf_dir, vectors=True, where="t_start is not null and t_end is not null")
+
+
 def _staged(spark, sf_dir) -> DataFrame:
-    c = chunks(spark, sf_dir, vectors=True).filter("start_us is not null and end_us is not null")
-    return funnel.stage_columns(funnel.pair_with_tasks(c, tasks(spark, sf_dir), _O), _O)
+    return funnel.stage_columns(funnel.pair_with_tasks(_stream(spark, sf_dir), tasks(spark, sf_dir), _O), _O)
 
 
 _FU = f"""{_CH},
@@ -245,7 +248,7 @@ def funnel_counters(spark, sf_dir):
 
 
 def _sustained(spark, sf_dir) -> DataFrame:
-    return funnel.sustained(_staged(spark, sf_dir), _O)
+    return funnel.sustained(_staged(spark, sf_dir), _O, stream=_stream(spark, sf_dir))
 
 
 @query(f"with {_RUNS} select task_id, run as run_no, min(since) as since_us, max(end_us) as until_us, count(*) as n from rq group by 1, 2")
@@ -273,7 +276,7 @@ _BOTH = _fires("q.act - d.last < q.cd and q.cd > 0", "len(list_filter(d.fired, l
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    return funnel.funnel_requests(chunks(spark, sf_dir, vectors=True).filter("start_us is not null and end_us is not null"), tasks(spark, sf_dir), _O)
+    return funnel.funnel_requests(_stream(spark, sf_dir), tasks(spark, sf_dir), _O)
 
 
 def _decided(spark, sf_dir) -> DataFrame:
@@ -292,7 +295,7 @@ def suppression_counts(spark, sf_dir):
 
 def _plain_requests(spark, sf_dir, cooldown_s: int) -> DataFrame:
     """One request per captioned window and camera, as the brakes' own input."""
-    c = chunks(spark, sf_dir).filter("not gated and camera_id is not null and start_us is not null and end_us >= start_us")
+    c = chunks(spark, sf_dir, where="not gated and camera_id is not null and t_end >= t_start")
     return c.select(F.col("camera_id").alias("key"), F.col("start_us").alias("t0"), F.col("end_us").alias("t1"), F.col("chunk_id").alias("id"), F.col("end_us").alias("act"), F.lit(cooldown_s * funnel.US).cast("long").alias("cooldown_us"))
 
 
@@ -353,7 +356,7 @@ def _arrivals(spark, sf_dir) -> DataFrame:
     """Work for one queue per UTC hour: job requests, checks of alerts, captioned windows."""
     j = latest_jobs(spark, sf_dir).select("requested_us", "job_id")
     a = logs.entries(log(spark, sf_dir)).filter("parent_id is null")
-    c = chunks(spark, sf_dir).filter("not gated")
+    c = chunks(spark, sf_dir, where="not gated")
     part = lambda df, i, lane, t, s: df.select(F.col(i).alias("id"), F.lit(lane).alias("lane"), F.col(t).alias("arrived"), F.lit(s).cast("long").alias("service_us"))
     rows = part(j, "job_id", 0, "requested_us", 3 * funnel.US).unionByName(part(a, "entry_id", 1, "ts", 1 * funnel.US)).unionByName(part(c, "chunk_id", 2, "end_us", 2 * funnel.US))
     return rows.withColumn("queue", F.date_format(F.timestamp_micros("arrived"), "yyyyMMddHH"))

@@ -37,7 +37,8 @@ def test_query_without_sql_runs(spark, name):
 
 
 def one(spark, col, **values):
-    return spark.createDataFrame([tuple(values.values())], list(values)).select(col.alias("x")).head()["x"]
+    row = spark.createDataFrame([tuple(values.values())], list(values)) if None not in values.values() else spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in values.items()])
+    return row.select(col.alias("x")).head()["x"]
 
 
 def test_tokens_and_word_lists(spark):
@@ -61,8 +62,9 @@ def test_tokens_and_word_lists(spark):
         ("Prose watching: nothing readable here", "Prose watching: nothing readable here", {}),
     ],
 )
-def test_caption_blocks(text, description, verdicts):
-    assert tx.parse_caption(text) == (description, verdicts)
+def test_caption_blocks(spark, text, description, verdicts):
+    row = one(spark, tx.split_caption("t"), t=text)
+    assert (row.description, row.watching) == (description, verdicts)
 
 
 def test_captions_with_watch_lists_are_split(spark, tmp_path):
@@ -106,13 +108,37 @@ def test_item_verdicts_are_three_valued(spark):
     assert one(spark, tx.item_verdict(w, F.col("d")), d="blue cat near gate") is None
 
 
-def test_parsers_of_model_text():
-    assert tx.parse_grounded("NO — the door is not in it") == (False, "the door is not in it")
-    assert tx.parse_grounded("**Yes**\nAll terms appear.") == (True, "All terms appear.")
-    assert tx.parse_grounded("perhaps")[0] is None
-    assert tx.parse_tool_call('Look again. deep(question="open?", why="detail")') == ("deep", {"question": "open?", "why": "detail"}, "Look again.")
-    assert tx.parse_tool_call("deep{question:<|>open?<|>,why:<|>w<|>}")[1] == {"question": "open?", "why": "w"}
-    assert tx.parse_tool_call("no call (here)") == (None, {}, "no call (here)")
+@pytest.mark.parametrize(
+    "text, grounded, reason",
+    [
+        ("NO — the door is not in it", False, "the door is not in it"),
+        ("**Yes**\nAll terms appear.", True, "All terms appear."),
+        ("Well\n- no\n\nThe plate is hidden.", False, "The plate is hidden."),
+        ("yes", True, "yes"),
+        ("perhaps", None, "perhaps"),
+        ("", None, ""),
+        (None, None, ""),
+    ],
+)
+def test_grounded_verdicts(spark, text, grounded, reason):
+    row = one(spark, tx.grounded_verdict("t"), t=text)
+    assert (row.grounded, row.reason) == (grounded, reason)
+
+
+@pytest.mark.parametrize(
+    "text, name, arguments, prose",
+    [
+        ('Look again. deep(question="open?", why="detail")', "deep", {"question": "open?", "why": "detail"}, "Look again."),
+        ("deep{question:<|>open?<|>,why:<|>w<|>}", "deep", {"question": "open?", "why": "w"}, "w"),
+        ("so: deep{question:<|'|>a (b)?<|'|>}", "deep", {"question": "a (b)?"}, "so:"),
+        ("no call (here)", None, {}, "no call (here)"),
+        ("deep(question=\"a\", question='b').", "deep", {"question": "b"}, ""),
+        (None, None, {}, ""),
+    ],
+)
+def test_tool_calls(spark, text, name, arguments, prose):
+    row = one(spark, tx.tool_call("t"), t=text)
+    assert (row["name"], row.arguments, row.prose) == (name, arguments, prose)
 
 
 def test_vectors(spark):
