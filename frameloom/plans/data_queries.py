@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.operators.changefeed import apply_feed, standing
+from frameloom.operators.changefeed import apply_feed, standing, state_table
 from frameloom.operators.coverage import merge_intervals
 from frameloom.operators.orphans import count_by_day, find_orphans
 from frameloom.operators.sessions import SessionTable
@@ -17,8 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_intervals(coverage_intervals(spark, sf_dir), ["src", "camera_id"])
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standing(apply_feed(action_feed(spark, sf_dir)))
+def p2_found(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The whole feed, applied in successive slices of time; rows without a time come with the first."""
+    feed = action_feed(spark, sf_dir)
+    table = state_table(spark)
+    lo, hi = feed.agg(F.min("ts"), F.max("ts")).head()
+    if lo is None:
+        return standing(apply_feed(feed, table=table))
+    width = (hi - lo) // batches + 1
+    place = F.coalesce(F.floor((F.col("ts") - F.lit(lo)) / F.lit(width)), F.lit(0))
+    for i in range(batches):
+        apply_feed(feed.filter(place == i), table=table)
+    return standing(table)
 
 
 def _session_table(spark: SparkSession, sf_dir: str, batches: int = 3) -> SessionTable:

@@ -94,10 +94,44 @@ def test_feed_with_chains_cycles_repeats_and_ties(spark):
     df = spark.createDataFrame([(*r, "noise") for r in rows], FEED)
     table = apply_feed(df)
     assert {(r[0], r[1]) for r in standing(table).collect()} == _state(rows)
-    assert table.read().filter("root = 'o3'").count() == 1  # the tombstone stays
+    assert table.read().filter("kind = 1 and root = 'o3'").count() == 1  # the tombstone stays
     assert standing(apply_feed(spark.createDataFrame([], FEED))).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_feed_in_batches_is_the_feed(spark, seed):
+    rng = random.Random(seed)
+    rows = [("o1", 1, None, "unverified"), ("a1", 2, "o1", "verified"), ("a2", 2, "a1", "retracted"), ("o2", None, None, None), ("c1", 1, "c2", "x"), ("c2", 1, "c1", "x"), ("lost", 5, "nowhere", "x"), ("late", 9, None, "retracted"), ("late", None, None, "verified"), ("n", None, "o2", "verified")]
+    rows += [("turn", 9, "o1", "retracted"), ("turn", 3, "o2", "verified"), ("behind", 10, "turn", "retracted"), ("tie", 4, "o1", "verified"), ("tie", 4, "o1", "retracted")]
+    rows += [(f"d{i}", i, f"d{i - 1}" if i else None, rng.choice(["verified", "retracted"])) for i in range(15)]
+    for i in range(60):
+        rows.append((f"h{i:03d}", rng.randrange(50), rng.choice(["d0", "o1", "o2", f"h{max(0, i - 1):03d}"]), rng.choice(["verified", "retracted"])))
+    rows += [(e, None if t is None else t + rng.randrange(3), p, s) for e, t, p, s in rng.sample(rows[15:], 20)]  # sent again, some later
+    rng.shuffle(rows)
+    whole = {(r[0], r[1]) for r in standing(apply_feed(spark.createDataFrame([(*r, "") for r in rows], FEED))).collect()}
+    table, parts = None, [rows[:20], rows[20:21], [], rows[21:70], rows[:20], rows[70:]]
+    for p in parts:
+        table = apply_feed(spark.createDataFrame([(*r, "") for r in p], FEED), table=table, buckets=4)
+    assert {(r[0], r[1]) for r in standing(table).collect()} == whole
+    version = table.version
+    apply_feed(spark.createDataFrame([(*r, "") for r in parts[3]], FEED), table=table)
+    assert table.version == version  # a batch that is sent again changes nothing
+    assert table.vacuum() > 0 and {(r[0], r[1]) for r in standing(table).collect()} == whole
+
+
+def test_feed_rewrites_only_touched_buckets_and_grows(spark):
+    rows = [(f"e{i:04d}", i, None, "verified", "") for i in range(400)]
+    table = apply_feed(spark.createDataFrame(rows, FEED), buckets=16, rows_per_bucket=40)
+    before = table.manifest()
+    apply_feed(spark.createDataFrame([("x", 50, "e0007", "retracted", "")], FEED), table=table, rows_per_bucket=40)
+    assert sum(table.manifest()[k] != before[k] for k in before) == 1
+    assert standing(table).count() == 399
+    more = [(f"f{i:04d}", i, "e0001", "verified", "") for i in range(3000)]
+    apply_feed(spark.createDataFrame(more, FEED), table=table, rows_per_bucket=40)
+    assert table.meta()["buckets"] > 16 and standing(table).count() == 399
+    assert standing(table).filter("entry_id = 'e0001' and last_entry_id = 'f2999'").count() == 1
+
+
 def _sessions(events, gap):
     out = []
     for key in {k for k, _, _ in events}:
@@ -128,6 +162,41 @@ def test_sessions_of_batches_in_any_order(spark):
     assert got == _sessions(events, 60 * US)
 
 
+def test_a_session_batch_that_fails_may_be_applied_again(spark, monkeypatch):
+    table = SessionTable(spark, gap_s=60)
+    rows = lambda ts: spark.createDataFrame([("a", t * US, f"id{t}") for t in ts], "key string, t bigint, id string")
+    table.apply(rows([0, 30, 200_000]))
+    version, put = table.table.version, SnapshotTable._put
+
+    def crash(self, *a):
+        raise OSError("lost")
+
+    monkeypatch.setattr(SnapshotTable, "_put", crash)  # all files are written, nothing is published
+    with pytest.raises(OSError):
+        table.apply(rows([60, 100, 200_030]))
+    assert table.table.version == version and table.read().count() == 2
+    monkeypatch.setattr(SnapshotTable, "_put", put)
+    for _ in range(2):  # the second time changes nothing
+        table.apply(rows([60, 100, 200_030]))
+        assert sorted((r.first.t // US, r.last.t // US, r.n) for r in table.read().collect()) == [(0, 100, 4), (200_000, 200_030, 2)]
+    assert table.table.vacuum() > 0 and table.read().count() == 2
+
+
+def test_a_session_batch_reads_only_days_in_reach(spark):
+    table = SessionTable(spark, gap_s=60)
+    rows = lambda ts: spark.createDataFrame([("a", t * US, f"id{t}") for t in ts], "key string, t bigint, id string")
+    table.apply(rows([d * 86_400 + 5000 for d in range(6)] + [86_390, 86_410]))
+    before = table.table.manifest()
+    table.apply(rows([86_430, 5 * 86_400 + 5040]))
+    after = table.table.manifest()
+    assert {int(k) // 2 for k in before if int(k) % 2 == 0 and before[k] != after[k]} == {0, 1, 5}
+    assert sorted((r.first.t // US, r.n) for r in table.read().collect()) == [(5000, 1), (86_390, 3)] + [(d * 86_400 + 5000, 1 + (d == 5)) for d in range(1, 6)]
+    for k in range(40):  # the folders of a day are written together now and then
+        if k % 20 == 0:
+            table.apply(rows([1000 + 100 * j for j in range(k, k + 20)]))
+    assert max(len(v) for v in table.table.manifest().values()) <= 17
+
+
 def test_orphan_states(spark):
     refs = [("s", "job", "r1", "a", 5), ("s", "job", "r2", "b", 5), ("s", "job", "r3", "c", 5), ("s", "job", "r4", "", 5), ("s", "job", "r5", None, 5), ("s", "job", "r6", "d", 5), ("s", "job", "r7", "e", 5), ("s", "job", "r8", "e", 4), ("s", "job", "r9", "late", None), ("s", "job", "r10", "late", 5)]
     refs += [("s", "job", f"hot{i}", "gone", i) for i in range(300)]
@@ -153,4 +222,4 @@ def test_snapshot_versions_are_all_or_nothing(spark, tmp_path):
     assert sorted(r.k for r in t.read().collect()) == ["a", "c"]
     assert [r.k for r in t.read({2}).collect()] == ["c"]
     with pytest.raises(RuntimeError):
-        t._publish(t.version, {})
+        t._put(t.version, {})
