@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.text import tokenize
+from frameloom.functions.text import split_caption, tokenize
 from frameloom.functions.vector import cosine, hash_features
+from frameloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,34 @@ def upsert(current: DataFrame, batches: list[DataFrame], key: str = "chunk_id")
     return best.select("_r.*")
 
 
+def with_embeddings(chunks: DataFrame, embed) -> DataFrame:
+    """Fill missing vectors of captioned rows from the caption's description (SK3); gated rows stay without (SK4).
+
+    ``embed`` makes a vector column of a text column; it runs only on rows that
+    need it.
+    """
+    missing = ~F.coalesce("gated", F.lit(True)) & (F.coalesce(F.size("embedding"), F.lit(0)) <= 0)
+    text = F.when(missing, split_caption("caption")["description"])
+    made = chunks.withColumn("_text", text)
+    # Apart, so that rows with a vector don't pass through the model.
+    return made.filter(F.col("_text").isNull()).drop("_text").unionByName(made.filter(F.col("_text").isNotNull()).withColumn("embedding", embed(F.col("_text"))).drop("_text"))
+
+
+def insert(current: DataFrame, chunks: DataFrame, embed, dims: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(table, refused)``: the table with the valid rows in it, and the others with the rule they break (SK2).
+
+    Valid rows get their missing vectors and replace rows of the same id; of a
+    batch's rows with one id the one with the greatest t_start counts.
+    """
+    problems = violations(chunks, dims)
+    refused = problems.dropDuplicates(["chunk_id"])
+    good = chunks.join(refused.filter("chunk_id is not null").select("chunk_id"), "chunk_id", "left_anti").filter("coalesce(chunk_id, '') <> ''")
+    cols = current.columns
+    one = good.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in cols]), F.coalesce(F.unix_micros(F.col("t_start").cast("timestamp")), F.lit(-(2**62)))).alias("_r")).select("_r.*")
+    # Written first: a model's column must not be drawn into the aggregate.
+    return upsert(current, [cut(with_embeddings(cut(one), embed))]), refused
+
+
 def delete(current: DataFrame, ids: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """``(left, deleted)``: the rows without the ids, and how many ids were there (SK5, J11)."""
     ids = ids.select(key).distinct()

@@ -385,10 +385,18 @@ def segment_effective_end(spark, sf_dir):
     return segments(spark, sf_dir).select("camera_id", "path", "start_us", "eff_end", "nominal")
 
 
+def on_cameras(rows: DataFrame, spark, sf_dir, key: str = "req") -> DataFrame:
+    """Adds ``camera_id``: every row to the camera whose number, in order of the archive's cameras, its key's hash gives."""
+    # One row: the list of cameras, which the archive's layout bounds.
+    cameras = segments(spark, sf_dir).agg(F.array_sort(F.collect_set("camera_id")).alias("_cameras"))
+    number = F.conv(F.substring(F.md5(F.col(key)), 1, 6), 16, 10).cast("long")
+    return rows.crossJoin(F.broadcast(cameras)).withColumn("camera_id", F.get("_cameras", F.pmod(number, F.size("_cameras")).cast("int"))).drop("_cameras")
+
+
 def _requests(spark, sf_dir) -> DataFrame:
-    """The footage ranges of all jobs, on the camera of their number."""
-    j = table(spark, sf_dir, "jobs").select("job_id", micros("t_start").alias("t0"), micros("t_end").alias("t1")).dropDuplicates(["job_id"]).filter("t1 > t0")
-    return j.select(F.col("job_id").alias("req"), F.lit("cam01").alias("camera_id"), "t0", "t1")
+    """The footage ranges of all jobs, spread over all cameras."""
+    j = table(spark, sf_dir, "jobs").select(F.col("job_id").alias("req"), micros("t_start").alias("t0"), micros("t_end").alias("t1")).dropDuplicates(["req"]).filter("t1 > t0")
+    return on_cameras(j, spark, sf_dir).select("req", "camera_id", "t0", "t1")
 
 
 def _tiles(spark, sf_dir) -> DataFrame:
@@ -396,7 +404,8 @@ def _tiles(spark, sf_dir) -> DataFrame:
 
 
 _TILE = f"""with {_SEG},
-rq as (select job_id as req, 'cam01' as camera_id, min(epoch_us(t_start)) as t0, min(epoch_us(t_end)) as t1 from jobs group by 1 having min(epoch_us(t_end)) > min(epoch_us(t_start))),
+cams as (select list_sort(list(distinct camera_id)) as l from se),
+rq as (select job_id as req, l[('0x' || md5(job_id)[1:6])::bigint % len(l) + 1] as camera_id, min(epoch_us(t_start)) as t0, min(epoch_us(t_end)) as t1 from jobs, cams group by 1, 2 having min(epoch_us(t_end)) > min(epoch_us(t_start))),
 h as (select req, rq.camera_id, t0, t1, path, start_us, greatest(t0, start_us) as a, least(t1, eff_end) as z from rq join se on rq.camera_id = se.camera_id and start_us < t1 and eff_end > t0),
 c as (select *, coalesce(max(z) over (partition by req order by start_us, path rows between unbounded preceding and 1 preceding), t0) as cur from h),
 k as (select *, greatest(a, cur) as b from c where z > cur),

@@ -9,7 +9,7 @@ from frameloom.functions import text as tx
 from frameloom.functions import timefmt as tf
 from frameloom.functions.keys import canon_id, micros
 from frameloom.operators import funnel, health, logs, scheduling, timeline
-from frameloom.plans.stream_queries import _CH, _SEG, _TOK, CUTOFF, ZONE, _us, chunks, segments
+from frameloom.plans.stream_queries import _CH, _SEG, _TOK, CUTOFF, ZONE, _us, chunks, on_cameras, segments
 from frameloom.plans.tables import table
 from frameloom.session import scratch_path
 from frameloom.streaming import funnel as live
@@ -140,14 +140,15 @@ def verification_verdicts(spark, sf_dir):
     return latest_jobs(spark, sf_dir).select("job_id", health.verdict(F.col("state"), F.col("confidence")).alias("verdict"))
 
 
-_TILED = f"""{_SEG}, {_J}, rq as (select job_id, start_us as t0, end_us as t1, answer from lj where end_us > start_us),
-cv as (select job_id, coalesce(sum(greatest(0, least(t1, eff_end) - greatest(t0, s.start_us))) filter (s.path is not null), 0) / 1e6 as covered from rq left join se s on s.camera_id = 'cam01' and s.start_us < t1 and s.eff_end > t0 group by 1)"""
+_TILED = f"""{_SEG}, {_J}, cams as (select list_sort(list(distinct camera_id)) as l from se),
+rq as (select job_id, l[('0x' || md5(job_id)[1:6])::bigint % len(l) + 1] as cam, start_us as t0, end_us as t1, answer from lj, cams where end_us > start_us),
+cv as (select job_id, coalesce(sum(greatest(0, least(t1, eff_end) - greatest(t0, s.start_us))) filter (s.path is not null), 0) / 1e6 as covered from rq left join se s on s.camera_id = rq.cam and s.start_us < t1 and s.eff_end > t0 group by 1)"""
 
 
 @query(f"with {_TILED}, x as (select job_id, (t1 - t0) / 1e6 as asked, covered, greatest(1, cast(round_even((t1 - t0) / 1e6 * 0.4, 0) as int)) as expected, coalesce({' or '.join(chr(40) + 'contains(lower(answer), ' + chr(39) + h.replace(chr(39), chr(39) * 2) + chr(39) + ')' + chr(41) for h in tx.HEDGES)}, false) as hedged from rq join cv using (job_id)) select job_id, expected, round(case when hedged then 0.35 else 1 end * least(1, covered / asked), 4) as confidence from x")
 def confidence_coverage(spark, sf_dir):
     j = latest_jobs(spark, sf_dir).filter("end_us > start_us")
-    req = j.select(F.col("job_id").alias("req"), F.lit("cam01").alias("camera_id"), F.col("start_us").alias("t0"), F.col("end_us").alias("t1"))
+    req = on_cameras(j.select(F.col("job_id").alias("req"), F.col("start_us").alias("t0"), F.col("end_us").alias("t1")), spark, sf_dir)
     cov = timeline.covered_seconds(timeline.tile_ranges(req, segments(spark, sf_dir)))
     asked = (F.col("end_us") - F.col("start_us")) / 1e6
     x = j.join(cov, j["job_id"] == cov["req"]).withColumn("asked", asked).withColumn("expected", health.expected_frames(F.col("asked"), 0.4))
