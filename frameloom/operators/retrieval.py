@@ -165,8 +165,9 @@ def with_embeddings(chunks: DataFrame, embed) -> DataFrame:
     missing = ~F.coalesce("gated", F.lit(True)) & (F.coalesce(F.size("embedding"), F.lit(0)) <= 0)
     text = F.when(missing, split_caption("caption")["description"])
     made = chunks.withColumn("_text", text)
-    # Apart, so that rows with a vector don't pass through the model.
-    return made.filter(F.col("_text").isNull()).drop("_text").unionByName(made.filter(F.col("_text").isNotNull()).withColumn("embedding", embed(F.col("_text"))).drop("_text"))
+    # Apart, so that rows with a vector don't pass through the model; written first, as a Python model can't take the parser's lambdas in.
+    asked = cut(made.filter(F.col("_text").isNotNull()))
+    return made.filter(F.col("_text").isNull()).drop("_text").unionByName(asked.withColumn("embedding", embed(F.col("_text"))).drop("_text"))
 
 
 def insert(current: DataFrame, chunks: DataFrame, embed, dims: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +181,6 @@ def insert(current: DataFrame, chunks: DataFrame, embed, dims: int = 64) -> tupl
     good = chunks.join(refused.filter("chunk_id is not null").select("chunk_id"), "chunk_id", "left_anti").filter("coalesce(chunk_id, '') <> ''")
     cols = current.columns
     one = good.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in cols]), F.coalesce(F.unix_micros(F.col("t_start").cast("timestamp")), F.lit(-(2**62)))).alias("_r")).select("_r.*")
-    # Written first: a model's column must not be drawn into the aggregate.
     return upsert(current, [cut(with_embeddings(cut(one), embed))]), refused
 
 
