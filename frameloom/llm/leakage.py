@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.words import words
-from frameloom.session import materialize
+from frameloom.session import input_cores, materialize
 
 _PASSAGES = "kind int, doc_id bigint, at int, terms binary, n bigint"
 LEAKS = "doc_id bigint, item_id bigint, cosine float, run int, lcs int, answer boolean, kind string"
@@ -100,12 +100,41 @@ class _Items:
         self.owner = np.array(owner, dtype=np.int64)
 
 
-def _dense(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows of windows of term numbers."""
-    n, v = len(terms), len(idf)
-    a = np.bincount((np.arange(n)[:, None] * (v + 1) + np.where(terms < 0, v, terms)).ravel(), minlength=n * (v + 1)).reshape(n, v + 1)[:, :v].astype(np.float32)
-    a *= idf
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+def _weights(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the words of windows, such that their sum by term is the unit TF-IDF row of a window; 0 for padding."""
+    there = terms >= 0
+    w = np.where(there, idf[terms], np.float32(0))
+    # A term c times in a window has the weight c x idf, and each of its places the same share of the square.
+    times = ((terms[:, :, None] == terms[:, None, :]) & there[:, :, None]).sum(2)
+    return w / np.maximum(np.sqrt((times * w * w).sum(1, keepdims=True)), np.float32(1e-9))
+
+
+def _project(terms: np.ndarray, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of TF-IDF windows times a matrix (terms x columns), by the few terms that each has."""
+    return (weights[:, None, :] @ m[np.maximum(terms, 0)])[:, 0]
+
+
+def _spread(terms: np.ndarray, weights: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
+    """Add the transposed TF-IDF windows times y (windows x columns) to a matrix (terms x columns)."""
+    row, _ = np.nonzero(terms >= 0)
+    flat, w = terms[terms >= 0], weights[terms >= 0]
+    order = np.argsort(flat, kind="stable")
+    which, start = np.unique(flat[order], return_index=True)
+    if len(which):
+        total[which] += np.add.reduceat(w[order, None] * y[row[order]], start, axis=0)
+
+
+_BITS = np.uint64(1)
+
+
+def _sketch(terms: np.ndarray, vocab: int) -> np.ndarray:
+    """Two words of bits per window, in which each of its terms sets one bit."""
+    out = np.zeros((len(terms), 2), np.uint64)
+    h = (terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    bit = np.where(terms >= 0, _BITS << (h & np.uint64(63)), np.uint64(0))
+    for half in (0, 1):
+        out[:, half] = np.bitwise_or.reduce(np.where((h >> np.uint64(6)) == half, bit, np.uint64(0)), axis=1)
+    return out
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -118,7 +147,8 @@ def _read(batch: pa.RecordBatch, width: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], vocab: int) -> Iterator[pa.RecordBatch]:
-    rows = max(64, min(2048, 4_000_000 // max(1, vocab)))
+    """Slices of batches small enough for a row of ``vocab`` numbers each."""
+    rows = max(16, min(1024, 40_000_000 // max(1, vocab)))
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -146,9 +176,7 @@ def _passages(docs: DataFrame, items: _Items, o: LeakOptions, exact: bool) -> Da
                 a = np.array([get(w, -1) for w in words(t)], dtype=np.int32)
                 if not len(a):
                     continue
-                seen = np.zeros(len(df), dtype=bool)
-                seen[a] = True  # -1 marks the spare last place
-                df += seen
+                df[np.unique(a)] += 1  # -1 marks the spare last place
                 least = o.run if exact else o.least
                 if i is None or len(a) < least:
                     continue
@@ -198,7 +226,7 @@ def latent_basis(windows: DataFrame, idf: np.ndarray, extra: np.ndarray, o: Leak
     rank = min(o.rank, v)
     q = np.linalg.qr(np.random.default_rng(o.seed).standard_normal((v, min(v, rank + 16))))[0]
     sc = windows.sparkSession.sparkContext
-    own = _dense(extra, idf).astype(np.float64)
+    mine = _weights(extra, idf)
     z = q
     for _ in range(o.passes):
         both = sc.broadcast((idf, q.astype(np.float32)))
@@ -207,15 +235,17 @@ def latent_basis(windows: DataFrame, idf: np.ndarray, extra: np.ndarray, o: Leak
             w, m = both.value
             total = np.zeros(m.shape, dtype=np.float32)
             some = False
-            for b in _chunks(batches, len(w)):
+            for b in _chunks(batches, o.window * m.shape[1]):
                 if b.num_rows:
-                    a = _dense(_read(b, o.window), w)
-                    total += a.T @ (a @ m)
+                    terms = _read(b, o.window)
+                    weights = _weights(terms, w)
+                    _spread(terms, weights, _project(terms, weights, m), total)
                     some = True
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-        z = _add_up(windows.select("terms").mapInArrow(part, "m binary"), q.shape) + own.T @ (own @ q)
+        z = _add_up(windows.select("terms").mapInArrow(part, "m binary"), q.shape)
+        _spread(extra, mine, _project(extra, mine, q), z)
         held, q = q, np.linalg.qr(z)[0]
     values, turn = np.linalg.eigh(held.T @ z)
     return (held @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
@@ -309,26 +339,34 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, o: LeakOpt
     for r in table.filter("kind = 1").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a term
         df[r["at"]] = r["n"]
     idf = np.log1p(n_docs / (1 + df)).astype(np.float32)
-    windows = table.filter("kind = 0").select("doc_id", "terms")
+    # The table is small next to its texts; spread it over all cores again.
+    windows = table.filter("kind = 0").select("doc_id", "terms").repartition(2 * input_cores(docs.sparkSession))
     basis = latent_basis(windows, idf, items.passages, o)
-    latent = _unit(_dense(items.passages, idf) @ basis)
+    latent = _unit(_project(items.passages, _weights(items.passages, idf), basis))
+    length = (items.passages >= 0).sum(1)
+    # A pair may lack so many of the passage's words: one word in the sketch is one bit at most, so no leak is ruled out.
+    spare = length - (np.minimum(o.run, np.ceil(o.lcs * length)) if paraphrases else o.run)
+    marks = _sketch(items.passages, len(idf))
     # The answer of a passage: its three rarest words.
     rare = np.sort(np.where(items.passages < 0, np.float32(0), idf[items.passages]), axis=1)[:, -3]
     known, within = _grams(items.passages, o.run)
     order = np.argsort(known, kind="stable")
-    both = sc.broadcast((items.passages, items.owner, idf, basis, latent, rare, known[order], within[order]))
+    both = sc.broadcast((items.passages, items.owner, idf, basis, latent, rare, known[order], within[order], spare, marks))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, owner, idf, basis, latent, rare, known, within = both.value
-        for b in _chunks(batches, len(idf)):
+        passages, owner, idf, basis, latent, rare, known, within, spare, marks = both.value
+        for b in _chunks(batches, max(len(passages), o.window * basis.shape[1])):
             if not b.num_rows:
                 continue
             x = _read(b, o.window)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            like = _unit(_dense(x, idf) @ basis) @ latent.T
+            like = _unit(_project(x, _weights(x, idf), basis)) @ latent.T
             near = like >= o.threshold
             near[_sharing(x, known, within, o.run)] = True
             at, to = np.nonzero(near)
+            own = _sketch(x, len(idf))
+            lacks = np.bitwise_count(marks[to] & ~own[at]).sum(1)
+            at, to = at[lacks <= spare[to]], to[lacks <= spare[to]]
             for a in range(0, len(at), 20_000):
                 i, j = at[a : a + 20_000], to[a : a + 20_000]
                 w, y = x[i], passages[j]

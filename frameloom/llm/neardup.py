@@ -214,7 +214,7 @@ def _check(num: int, den: int):
     return run
 
 
-def similar_texts(docs: DataFrame, text_col: str, *, likeness: tuple[int, int] = (7, 10), cell_rows: int = 16_384, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, text_col: str, *, likeness: tuple[int, int] = (7, 10), cell_rows: int = 262_144, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(texts, links)``: the distinct texts ``(a, text)`` and their pairs ``(a, b, likeness)``.
 
     ``likeness`` is the threshold as a fraction. Texts are distinct as

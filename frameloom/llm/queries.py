@@ -98,6 +98,12 @@ i as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as
 gd as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from d where len(w) >= 12),
 gi as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from i where len(w) >= 12)
 select distinct doc_id, item_id from gd join gi using (g)""",
+    # Every vector against every other.
+    "p6_found": """
+with v as (select chunk_id, any_value(embedding) as e from chunks where chunk_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null)) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+c as (select a.chunk_id as x, b.chunk_id as y, list_cosine_similarity(a.e, b.e) as s from v a, v b where a.chunk_id <> b.chunk_id),
+t as (select * from c qualify row_number() over (partition by x order by s desc, y) <= 5)
+select distinct least(x, y) as chunk_a, greatest(x, y) as chunk_b from t where s >= 0.9""",
     # The pairs of distinct captions that share one of the words a pair must share; too slow for SQL beyond the smaller sizes.
     "p4_found": f"""
 with c as (select caption, {_WORDS} as w from (select distinct caption from chunks where caption is not null) where len({_WORDS}) > 0),

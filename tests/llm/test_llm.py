@@ -241,6 +241,32 @@ def test_paraphrases_of_short_items_and_at_every_offset(spark):
     assert {(10 + k, 2) for k in range(12)} <= got
 
 
+def test_planted_paraphrases_are_found_and_little_else(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    often = vocab[:60]
+    draw = lambda n: [rng.choice(often) if rng.random() < 0.5 else rng.choice(vocab) for _ in range(n)]
+    items = [(i, draw(rng.randrange(30, 60))) for i in range(80)]
+    docs, planted = [], set()
+    for d in range(600):
+        w = draw(rng.randrange(40, 160))
+        if d % 2 == 0:  # 24 words of an item, two or three of its frequent ones reworded
+            i, u = items[rng.randrange(80)]
+            at = rng.randrange(len(u) - 24 + 1)
+            part = list(u[at : at + 24])
+            for k in rng.sample([k for k, x in enumerate(part) if x in often], 3)[: rng.choice([2, 3])]:
+                part[k] = f"reworded{k}"
+            place = rng.randrange(len(w))
+            w[place:place] = part
+            planted.add((d, i))
+        docs.append((d, " ".join(w)))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(u)) for i, u in items], "item_id bigint, item_text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in out}
+    recall, precision = len(found & planted) / len(planted), len(found & planted) / len(found)
+    print(f"planted paraphrases: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.95 and precision >= 0.95
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((900, 16))
