@@ -81,7 +81,7 @@ class Engine:
             ((F.col("n") > 0) & (F.size(missing) == 0) & (cov >= 0.6)).alias("grounded"),
             F.round(cov, 6).alias("coverage"),
             missing.alias("missing"),
-            F.when(F.col("n") == 0, "Nothing in the index covers that.").otherwise(F.concat(F.lit("From the indexed captions, "), "best")).alias("answer"),
+            F.when(F.col("n") == 0, "No caption of that range matches the question.").otherwise(F.concat(F.lit("Closest caption: "), "best")).alias("answer"),
             (F.size(details) > 0).alias("escalate"),
         )
 

@@ -63,11 +63,15 @@ def backoff(attempt: Column, initial: float = 1.0, factor: float = 2.0, most: fl
     return F.least(F.lit(most), F.lit(initial) * F.pow(F.lit(factor), attempt - 1))
 
 
+# What stands around the task and range in an alert's key, and the name of an alert without a task.
+KEY_HEAD, KEY_TAIL, KEY_NO_TASK = "spark-", "-v1-discord", "ad-hoc"
+
+
 def idempotency_key(task: Column, start: Column, end: Column, most: int = 128) -> Column:
     """Key of an alert: its task and its footage range (F-K1)."""
     form = "yyyyMMdd'T'HHmmss"
-    name = F.when(F.coalesce(task, F.lit("")) == "", F.lit("ad-hoc")).otherwise(task)
-    raw = F.concat(F.lit("spark-"), name, F.lit("-"), F.date_format(_ts(start), form), F.lit("-"), F.date_format(_ts(end), form), F.lit("-v1-discord"))
+    name = F.when(F.coalesce(task, F.lit("")) == "", F.lit(KEY_NO_TASK)).otherwise(task)
+    raw = F.concat(F.lit(KEY_HEAD), name, F.lit("-"), F.date_format(_ts(start), form), F.lit("-"), F.date_format(_ts(end), form), F.lit(KEY_TAIL))
     return F.substring(F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), 1, most)
 
 

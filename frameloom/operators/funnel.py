@@ -135,14 +135,14 @@ BRAKES = "key string, t0 bigint, t1 bigint, id string, act bigint, fired boolean
 
 def _brake_batches(pad_us: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = object(), BrakeState()
+        place, state = object(), BrakeState()
         for b in batches:
             if not b.num_rows:
                 continue
             ded, cool = [], []
-            for k, t0, t1, act, cd in zip(*(b.column(c).to_pylist() for c in ("key", "t0", "t1", "act", "cooldown_us"))):
-                if k != key:
-                    key, state = k, BrakeState()
+            for k, n, t0, t1, act, cd in zip(*(b.column(c).to_pylist() for c in ("key", "_stretch", "t0", "t1", "act", "cooldown_us"))):
+                if (k, n) != place:
+                    place, state = (k, n), BrakeState()
                 state.forget_before(t0, pad_us)
                 d, c = state.decide(act, t0, t1, cd, pad_us)
                 ded.append(d)
@@ -154,17 +154,48 @@ def _brake_batches(pad_us: int):
     return run
 
 
+def stretches(requests: DataFrame, pad_us: int, bucket_us: int = 3600 * US) -> DataFrame:
+    """Adds ``_stretch``: numbers of parts of a key's requests that cannot touch each other.
+
+    A new stretch begins where no later request lies within the pad of an
+    earlier range, or acts within the key's longest cooldown of an earlier act,
+    so that whatever fired before is without effect. Running maxima, minima
+    and counts are taken per (key, time bucket) and carried over by one row per
+    bucket, so that no key is one task.
+    """
+    r = requests.withColumn("_k", F.struct(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit("")).alias("key"))).withColumn("_b", F.floor(F.col("t0") / F.lit(bucket_us)).cast("long"))
+    group = ["_k", "_b"]
+    key = Window.partitionBy("_k").orderBy("_b")
+    before, after = key.rowsBetween(Window.unboundedPreceding, -1), key.rowsBetween(1, Window.unboundedFollowing)
+    per = r.groupBy(*group).agg(F.max("t1").alias("_z"), F.max("act").alias("_a"), F.min("act").alias("_m"), F.max("cooldown_us").alias("_cd"))
+    per = per.select(*group, F.max("_z").over(before).alias("_pz"), F.max("_a").over(before).alias("_pa"), F.min("_m").over(after).alias("_nm"), F.max("_cd").over(Window.partitionBy("_k")).alias("_most"))
+    order = Window.partitionBy(*group).orderBy("t0", "id")
+    sofar, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    r = r.join(per, group)
+    last_end, last_act = F.greatest("_pz", F.max("t1").over(sofar)), F.greatest("_pa", F.max("act").over(sofar))
+    free = (F.col("t0") - last_end >= pad_us) & (F.least("_nm", F.min("act").over(ahead)) - last_act >= F.greatest("_most", F.lit(0)))
+    r = r.withColumn("_new", F.coalesce(free, F.lit(True)).cast("long")).drop("_pz", "_pa", "_nm", "_most")
+    count = r.groupBy(*group).agg(F.sum("_new").alias("_n")).select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("_in", inside).join(count, group).withColumn("_stretch", F.col("_before") + F.col("_in")).drop("_k", "_b", "_new", "_in", "_before")
+
+
 def brakes(requests: DataFrame, *, pad_s: float = 5.0) -> DataFrame:
     """Decide every request of ``(key, t0, t1, id, act, cooldown_us)`` in order of (t0, id) (ST4, Q28).
 
     Both brakes are always evaluated; dedupe is the one that is named. Only
-    fired requests count as prior. A null key is a key like any other. The
-    decisions of a key depend on each other, so a key is one stream; its rows
-    pass through in batches and its state is a few ranges.
+    fired requests count as prior. A null key is a key like any other, a null
+    cooldown is none, and rows with another null take no part. The
+    decisions within one of a key's :func:`stretches` depend on each other, so
+    a stretch is one stream; its rows pass through in batches and its state is
+    a few ranges. A key that never pauses is one stretch.
     """
     if pad_s < 0:
         raise ValueError("pad_s must not be negative")
-    return requests.select("key", "t0", "t1", "id", "act", "cooldown_us").repartition("key").sortWithinPartitions("key", "t0", "id").mapInArrow(_brake_batches(int(pad_s * US)), BRAKES)
+    pad = int(pad_s * US)
+    whole = requests.select("key", "t0", "t1", "id", "act", F.coalesce("cooldown_us", F.lit(0)).cast("long").alias("cooldown_us")).filter("t0 is not null and t1 is not null and id is not null and act is not null")
+    rows = stretches(whole, pad)
+    return rows.repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "t0", "id").mapInArrow(_brake_batches(pad), BRAKES)
 
 
 def funnel_requests(chunks: DataFrame, tasks: DataFrame, o: FunnelOptions | None = None, *, watchlists: bool = False) -> DataFrame:
@@ -185,6 +216,17 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("awake").alias("awake"), F.count_if("stage1").alias("stage1"), F.count_if("ok").alias("stage2"))
 
 
+def cooldown_left(now_us: Column, last_fired: Column, cooldown_s: Column) -> Column:
+    """Seconds until a task may act again; 0 if it never did (F-D6)."""
+    return F.coalesce(F.greatest(F.lit(0.0), cooldown_s - (now_us - last_fired) / US), F.lit(0.0))
+
+
+def sustained_share(run_since: Column, until: Column, window_s: Column) -> Column:
+    """How far a run has come towards its window, within 0..1; a window of 0 is full at once (F-D6)."""
+    held = F.greatest(F.lit(0.0), (until - run_since) / US)
+    return F.when(run_since.isNull(), F.lit(0.0)).when(window_s <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), held / window_s))
+
+
 def card_state(enabled: Column, in_window: Column, cooling: Column, matching: Column) -> Column:
     """disabled > out_of_window > cooling > matching > armed (Q27)."""
     return F.when(~enabled, "disabled").when(~in_window, "out_of_window").when(cooling, "cooling").when(matching, "matching").otherwise("armed")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.text import split_caption, tokenize
+from frameloom.functions.timefmt import iso
 from frameloom.functions.vector import cosine, hash_features
 from frameloom.session import cut
 
@@ -67,6 +68,23 @@ def lexical_rerank(candidates: DataFrame, query_terms: list[str], *, text_col: s
     return marked.crossJoin(F.broadcast(stats)).withColumn("rerank_score", F.round(F.coalesce(got / total, F.lit(0.0)), digits)).drop("_w", "_has")  # stats: one row
 
 
+def take_ranked(candidates: DataFrame, ranking: DataFrame, *, position: str = "position") -> DataFrame:
+    """Candidates in the order a model returned, with a 0-based ``rank`` (Q2).
+
+    ``candidates`` have their 0-based ``position``; ``ranking`` (index, score)
+    names positions, best score first, equal scores by position. An index that
+    no candidate has raises.
+    """
+    rows = ranking.join(candidates, F.col("index") == F.col(position), "left")
+    known = F.when(F.col(position).isNull(), F.raise_error(F.format_string("the ranking names candidate %d, which there is not", F.col("index"))).cast("int")).otherwise(F.row_number().over(Window.orderBy(F.desc("score"), "index")) - 1)
+    return rows.withColumn("rank", known).drop("index")
+
+
+def context_line(key: str = "chunk_id", start: str = "t_start", end: str = "t_end", text: str = "caption") -> Column:
+    """``[id] start .. end: caption``."""
+    return F.concat(F.lit("["), F.col(key), F.lit("] "), iso(start), F.lit(" .. "), iso(end), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
+
+
 def recency_blend(ranked: DataFrame, *, order: list[Column], options: SearchOptions, end: str = "t_end") -> DataFrame:
     """Adds ``rank`` (0-based): relevance and recency, both over the candidates, blended.
 

@@ -334,6 +334,19 @@ def detail_terms_missing(spark, sf_dir):
     return _grounding(spark, sf_dir).filter(F.size("missing") > 0).select("job_id", "missing")
 
 
+_DETAIL = f"""with {_CH}, tw as (select list_distinct(flatten(list({_TOK.format('describe_text')}))) as seen from tasks),
+q as (select chunk_id, list_filter(list_distinct({_TOK.format('caption')}), lambda w: not list_contains({tx.STOP_ANSWER}, w) and length(w) > 1) as w from ch where caption is not null)
+select chunk_id, list_sort(list_filter(w, lambda x: list_contains({tx.DETAIL_TERMS}, x) and not list_contains(seen, x))) as missing from q, tw where len(list_filter(w, lambda x: list_contains({tx.DETAIL_TERMS}, x) and not list_contains(seen, x))) > 0"""
+
+
+@query(_DETAIL)
+def caption_details_unasked(spark, sf_dir):
+    """Words of fine detail in captions that no task's wording has."""
+    seen = table(spark, sf_dir, "tasks").agg(F.array_distinct(F.flatten(F.collect_list(tx.tokenize("describe_text")))).alias("seen"))  # one row; the tasks are a fixed table
+    c = chunks(spark, sf_dir, where="caption is not null").select("chunk_id", "caption").crossJoin(F.broadcast(seen))
+    return c.select("chunk_id", tx.missing_details("caption", F.col("seen")).alias("missing")).filter(F.size("missing") > 0)
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(8202) || chr(8239) || chr(12288)"
 _BARE = "regexp_replace({}, '^[\\s*•,;.-]+|[\\s*•,;.-]+$', '', 'g')"
 _WORD = r"(not\s+present|not\s+visible|present|absent|yes|no)"

@@ -192,6 +192,13 @@ def retention_blocked(spark, sf_dir):
     return health.retention_blockers(latest_jobs(spark, sf_dir), now_us=_NOW).select("job_id")
 
 
+@query(f"with {_J} select distinct job_id from j where state in ('queued', 'running') and start_us < {_us(CUTOFF)}")
+def retention_blocked_then(spark, sf_dir):
+    """The jobs that would have held the deletion back while they were under way."""
+    under_way = job_rows(spark, sf_dir).filter("state in ('queued', 'running')")
+    return health.retention_blockers(under_way, now_us=_NOW).select("job_id").distinct()
+
+
 @query(f"with {_CH} select camera_id, ({_NOW} - max(end_us)) / 1e6 as age_s from ch group by 1")
 def freshness(spark, sf_dir):
     return health.freshness(chunks(spark, sf_dir), _NOW)
@@ -363,17 +370,32 @@ def _arrivals(spark, sf_dir) -> DataFrame:
     return rows.withColumn("queue", F.date_format(F.timestamp_micros("arrived"), "yyyyMMddHH"))
 
 
-@query()
+_ARR = f"""with recursive {_E}, {_J}, {_CH},
+ar as (select job_id as id, 0 as lane, requested_us as arrived, 3000000 as service from lj union all select entry_id, 1, ts, 1000000 from e where parent_id is null union all select chunk_id, 2, end_us, 2000000 from ch where not gated),
+q as materialized (select *, strftime(make_timestamp(arrived), '%Y%m%d%H') as queue, lane || '|' || id as k, case when lane = 2 then 5000000 end as cap from ar where arrived is not null),
+d as (select queue, null::varchar as id, null::int as lane, null::bigint as arrived, null::bigint as started, false as overdue, 0::bigint as free, []::varchar[] as served from (select distinct queue from q)
+  union all
+  select queue, id, lane, arrived, begins, late, begins + service, list_append(served, k) from (
+    select *, row_number() over (partition by queue order by not late, case when late then arrived else lane end, case when late then lane else arrived end, id) as n from (
+      select *, coalesce(begins - arrived >= cap, false) as late from (
+        select d.queue, q.id, q.lane, q.arrived, q.service, q.cap, q.k, d.served, greatest(d.free, min(q.arrived) over (partition by d.queue)) as begins from d join q on d.queue = q.queue and not list_contains(d.served, q.k)) where arrived <= begins)) where n = 1),
+sc as (select queue, id, lane, arrived, started, (started - arrived) / 1e6 as wait_s, overdue from d where id is not null)"""
+
+
+@query(_ARR + " select * from sc")
 def priority_schedule(spark, sf_dir):
     return scheduling.replay(_arrivals(spark, sf_dir))
 
 
-@query()
+@query(_ARR + " select lane, count(*) as completed, max(wait_s) as max_wait_s, count(*) filter (overdue) as promotions from sc group by 1")
 def queue_waits(spark, sf_dir):
     return scheduling.queue_stats(scheduling.replay(_arrivals(spark, sf_dir)))
 
 
-@query()
+@query(f"""with recursive {_J}, q as materialized (select concat_ws('-', start_us, end_us) as range_key, job_id, requested_us, coalesce(completed_us, 1::bigint << 62) as until, row_number() over (partition by concat_ws('-', start_us, end_us) order by requested_us, job_id) as i from lj where requested_us is not null),
+d as (select range_key, i, job_id, null::varchar as attached_to, job_id as holder, until from q where i = 1
+  union all select q.range_key, q.i, q.job_id, case when q.requested_us < d.until then d.holder end, case when q.requested_us < d.until then d.holder else q.job_id end, case when q.requested_us < d.until then d.until else q.until end from d join q on q.range_key = d.range_key and q.i = d.i + 1)
+select job_id, range_key, attached_to from d""")
 def in_flight_attached(spark, sf_dir):
     j = latest_jobs(spark, sf_dir).select(F.concat_ws("-", "start_us", "end_us").alias("range_key"), "job_id", "requested_us", "completed_us")
     return scheduling.in_flight_duplicates(j)
@@ -397,8 +419,9 @@ def stream_dedupe_late(spark, sf_dir):
     """The chunk tail: each id once, late rows kept aside and counted in."""
     folder = scratch_path(spark, "tail")
     raw = table(spark, sf_dir, "chunks").filter("t_start is not null").select("chunk_id", F.col("t_start").cast("timestamp").alias("t_start"), F.col("t_end").cast("timestamp").alias("t_end"))
-    raw.write.parquet(f"{folder}/in")
-    tail = live.chunk_tail(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, delay="30 days")
-    live.run_available(tail, folder, sink=live.LateSink(folder, 30 * 86_400))
+    # Several files, each with rows of all times: with a batch per file, most rows of the later ones are late.
+    raw.repartition(4, "chunk_id").write.parquet(f"{folder}/in")
+    tail = live.chunk_tail(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_per_batch=1, delay="30 days")
+    live.run_available(tail, folder, sink=live.LateSink(folder, 600))
     rows = spark.read.parquet(f"{folder}/main").unionByName(spark.read.parquet(f"{folder}/late"))
     return rows.select("chunk_id", F.unix_micros("t_start").alias("start_us"))

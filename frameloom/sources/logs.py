@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from frameloom.session import cut
 from pyspark.sql import types as T
 
 from frameloom.functions.timefmt import name_parts
@@ -116,6 +118,72 @@ def _items(path: str) -> list[dict]:
     return list((data or {}).get("tasks", []) if isinstance(data, dict) else data)
 
 
+class LineTail:
+    """New rows of one growing line log, from a cursor (SC2, SC3).
+
+    A poll reads from the byte offset where the last one ended, at most
+    ``most`` bytes, and leaves an unfinished last line for the next. A file
+    that has become shorter was written anew: reading starts over, and
+    ``restarts`` counts it, so that a caller drops what it held. A missing file
+    gives nothing. ``offset`` may be stored and given back after a restart.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, *, offset: int = 0, most: int = 16_000_000) -> None:
+        self.spark, self.path, self.schema, self.offset, self.most, self.restarts = spark, path, schema, offset, most, 0
+
+    def poll(self) -> DataFrame:
+        """The rows that are complete since the last poll; lines that can't be read are left out."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        lines: list[tuple[str]] = []
+        if fs.exists(at):
+            size = fs.getFileStatus(at).getLen()
+            if size < self.offset:
+                self.offset, self.restarts = 0, self.restarts + 1
+            source = fs.open(at)
+            try:
+                source.seek(self.offset)
+                block = bytes(source.readNBytes(int(min(self.most, size - self.offset))))
+            finally:
+                source.close()
+            block = block[: block.rfind(b"\n") + 1]
+            self.offset += len(block)
+            lines = [(x.decode("utf-8", "replace"),) for x in block.split(b"\n") if x.strip()]
+        rows = self.spark.createDataFrame(lines, "line string").select(F.from_json("line", f"{self.schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        return rows.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
+
+
+class LogView:
+    """The rows of a line log that is rewritten as a whole; a torn file keeps the view that was there (SC1)."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+        self.rows: DataFrame = spark.createDataFrame([], schema)
+        self._stamp: tuple | None = None
+
+    def refresh(self) -> bool:
+        """Load the log again if it has changed since and every line of it can be read; whether it was loaded."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return False
+        status = fs.getFileStatus(at)
+        stamp = (status.getModificationTime(), status.getLen())
+        if stamp == self._stamp:
+            return False
+        lines = self.spark.read.text(self.path).filter("trim(value) <> ''")
+        parsed = lines.select(F.from_json("value", f"{self.schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        # Written out, so that the view doesn't change under its readers.
+        made = cut(parsed)
+        after = fs.getFileStatus(at)
+        if (after.getModificationTime(), after.getLen()) != stamp or not made.filter("r is null or r._bad is not null").isEmpty():
+            return False
+        self.rows, self._stamp = made.select("r.*").drop("_bad"), stamp
+        return True
+
+
 def watchlist(tasks: DataFrame, most: int = 8) -> list[str]:
     """Descriptions of enabled tasks, blank ones left out, at most ``most`` (SC12)."""
     rows = tasks.filter("enabled and trim(describe_text) <> ''").select("describe_text").orderBy("task_id").limit(most).collect()

@@ -91,28 +91,35 @@ def split_late(batch: DataFrame, seen_until_us: int | None, ts: str = "t_start")
     return batch.filter(~late), batch.filter(late)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists; any other fault of the storage is raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 class LateSink:
     """``foreachBatch`` sink: on-time rows to one folder, late ones to another, none lost.
 
-    The watermark is the latest event time of earlier batches less the delay;
-    it is read back from the written table, so a restart goes on where it was.
+    The watermark is the latest event time of earlier batches less the delay.
+    Every batch leaves its latest time as a row of its own, so that neither a
+    restart nor a batch that is tried again has to read the output, or counts
+    itself.
     """
 
     def __init__(self, folder: str, delay_s: float, ts: str = "t_start") -> None:
-        self.main, self.side, self.delay_us, self.ts = f"{folder}/main", f"{folder}/late", int(delay_s * US), ts
+        self.main, self.side, self.marks, self.delay_us, self.ts = f"{folder}/main", f"{folder}/late", f"{folder}/marks", int(delay_s * US), ts
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         until = None
-        try:
-            top = spark.read.parquet(self.main).agg(F.max(F.unix_micros(F.col(self.ts).cast("timestamp")))).head()[0]
+        if _there(spark, self.marks):
+            top = spark.read.parquet(self.marks).filter(F.col("batch") < batch_id).agg(F.max("top")).head()[0]
             until = None if top is None else top - self.delay_us
-        except Exception:  # noqa: BLE001  no batch was written yet
-            pass
         on_time, late = split_late(batch, until, self.ts)
-        # A batch that is tried again overwrites its own folder.
+        # A batch that is tried again overwrites its own folders; its mark comes last.
         on_time.write.mode("overwrite").parquet(f"{self.main}/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{self.side}/batch={batch_id}")
+        on_time.agg(F.max(F.unix_micros(F.col(self.ts).cast("timestamp"))).alias("top")).write.mode("overwrite").parquet(f"{self.marks}/batch={batch_id}")
 
 
 def outbox(folder: str, key: str = "idempotency_key"):
@@ -120,15 +127,50 @@ def outbox(folder: str, key: str = "idempotency_key"):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates([key])
-        try:
+        if _there(batch.sparkSession, folder):
             rows = rows.join(batch.sparkSession.read.parquet(folder).filter(F.col("batch") != batch_id).select(key), key, "left_anti")
-        except Exception:  # noqa: BLE001  nothing was written yet
-            pass
         rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return write
 
 
+class Monitor:
+    """One step of watching: read what is new, observe it, tell the listeners, settle what is pending (ST8).
+
+    A read that fails leaves everything as it was and is tried again with the
+    next step; a listener that fails does not keep the others from being told.
+    ``faults`` holds what went wrong, newest last, at most ``keep``.
+    """
+
+    def __init__(self, read, observe, listeners=(), settle=None, *, keep: int = 100) -> None:
+        self.read, self.observe, self.listeners, self.settle, self.keep = read, observe, list(listeners), settle, keep
+        self.faults: list[tuple[str, str]] = []
+        self.steps = 0
+
+    def _note(self, where: str, fault: Exception) -> None:
+        self.faults = [*self.faults, (where, f"{type(fault).__name__}: {fault}")][-self.keep :]
+
+    def step(self) -> DataFrame | None:
+        """What was observed; None if nothing could be read."""
+        self.steps += 1
+        try:
+            seen = self.observe(self.read())
+        except Exception as fault:  # noqa: BLE001  noted, and tried again with the next step
+            self._note("read", fault)
+            seen = None
+        for tell in self.listeners if seen is not None else ():
+            try:
+                tell(seen)
+            except Exception as fault:  # noqa: BLE001  noted; the others are told
+                self._note("listener", fault)
+        if self.settle is not None:
+            try:
+                self.settle()
+            except Exception as fault:  # noqa: BLE001  noted, and tried again with the next step
+                self._note("settle", fault)
+        return seen
+
+
 def run_available(df: DataFrame, folder: str, *, mode: str = "append", sink=None) -> None:
     """Drive a stream over all that is there, with its checkpoint below ``folder``."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameloom.functions.vector import hash_embed
-from frameloom.operators import ingest, jobs, models, retrieval
+from frameloom.operators import funnel, ingest, jobs, models, retrieval
 from frameloom.sources import archive
+from frameloom.sources.logs import LineTail, LogView
 from frameloom.sources.registry import TaskStore
 from frameloom.sources.snapshot import SnapshotTable
+from frameloom.streaming.funnel import Monitor
 
 US = 1_000_000
 UTC = dt.timezone.utc
@@ -184,3 +186,66 @@ def test_retention_takes_rows_before_files_and_may_be_repeated(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["f2", "folder", "index"]
     n = archive.retention_figures(archive.apply_retention(index, plan, ids)).head()
     assert (n.files_deleted, n.bytes_freed, n.errors) == (0, 0, 1)
+
+
+def test_a_tail_leaves_unfinished_lines_and_starts_over_on_a_shorter_file(spark, tmp_path):
+    f = tmp_path / "log.jsonl"
+    tail = LineTail(spark, f"file://{f}", "k string")
+    got = lambda: [r.k for r in tail.poll().collect()]
+    assert got() == []
+    f.write_text('{"k": "a"}\nbroken\n\n{"k": "b"')
+    assert got() == ["a"]
+    with f.open("a") as out:
+        out.write('}\n{"k": "ü"}\n')
+    assert got() == ["b", "ü"] and got() == []
+    again = LineTail(spark, f"file://{f}", "k string", offset=tail.offset)
+    assert again.poll().count() == 0
+    f.write_text('{"k": "new"}\n')
+    assert got() == ["new"] and tail.restarts == 1
+    small = LineTail(spark, f"file://{f}", "k string", most=5)
+    assert small.poll().count() == 0 and small.offset == 0  # no whole line fits
+
+
+def test_a_torn_log_keeps_the_view(spark, tmp_path):
+    f = tmp_path / "chunks.jsonl"
+    view = LogView(spark, f"file://{f}", "k string, n int")
+    assert not view.refresh() and view.rows.count() == 0
+    f.write_text('{"k": "a", "n": 1}\n{"k": "b", "n": 2}\n')
+    assert view.refresh() and not view.refresh()
+    f.write_text('{"k": "a", "n": 1}\n{"k": "b", "n"')
+    assert not view.refresh() and sorted(r.k for r in view.rows.collect()) == ["a", "b"]
+    f.write_text('{"k": "c", "n": 3}\n')
+    assert view.refresh() and [r.k for r in view.rows.collect()] == ["c"]
+
+
+def test_rankings_name_candidates_that_are_there(spark):
+    c = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "position int, id string")
+    rank = lambda rows: retrieval.take_ranked(c, spark.createDataFrame(rows, "index int, score double")).orderBy("rank").collect()
+    assert [(r.id, r["rank"]) for r in rank([(2, 0.5), (0, 0.9), (1, 0.5)])] == [("a", 0), ("b", 1), ("c", 2)]
+    with pytest.raises(Exception, match="which there is not"):
+        rank([(7, 1.0)])
+    df = spark.createDataFrame([("x", dt.datetime(2026, 1, 5, tzinfo=UTC), dt.datetime(2026, 1, 5, 0, 0, 5, tzinfo=UTC), None)], CHUNK.replace("segment string, gated boolean, ", "").replace(", embedding array<double>", ""))
+    assert df.select(retrieval.context_line()).head()[0] == "[x] 2026-01-05T00:00:00Z .. 2026-01-05T00:00:05Z: "
+
+
+def test_cards_count_down_and_up(spark):
+    df = spark.createDataFrame([(10 * US, 4 * US, 20, 2 * US, 8), (100 * US, None, 20, None, 8), (100 * US, 0, 20, 0, 0)], "now bigint, last bigint, cd int, since bigint, w int")
+    got = [(r[0], r[1]) for r in df.select(funnel.cooldown_left(F.col("now"), F.col("last"), F.col("cd")), funnel.sustained_share(F.col("since"), F.col("now"), F.col("w"))).collect()]
+    assert got == [(14.0, 1.0), (0.0, 0.0), (0.0, 1.0)]
+
+
+def test_a_monitor_survives_bad_reads_and_listeners():
+    inbox, told, settled = [[1], OSError("torn"), [2, 3]], [], []
+
+    def read():
+        x = inbox.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    def bad(_):
+        raise ValueError("deaf")
+
+    m = Monitor(read, lambda rows: [2 * x for x in rows], [bad, told.append], lambda: settled.append(1))
+    assert [m.step() for _ in range(3)] == [[2], None, [4, 6]]
+    assert told == [[2], [4, 6]] and len(settled) == 3 and [w for w, _ in m.faults] == ["listener", "read", "listener"]

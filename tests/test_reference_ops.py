@@ -12,7 +12,7 @@ from frameloom.functions import text as tx
 from frameloom.functions import timefmt as tf
 from frameloom.functions.vector import cosine, hash_embed, hash_features, l2_normalize, mean_abs_delta
 from frameloom.operators import funnel, gate, health, logs, retrieval, scheduling, timeline
-from frameloom.plans import data_queries, stream_queries, watch_queries
+from frameloom.plans import data_queries, job_queries, stream_queries, watch_queries
 from frameloom.sources import logs as src
 from frameloom.streaming import funnel as live
 from tests.compare import compare, duck
@@ -21,8 +21,8 @@ US = 1_000_000
 SF = "/root/testdata/sf0.001"
 UTC = dt.timezone.utc
 
-SQL = {**data_queries.ORACLE, **stream_queries.ORACLE, **watch_queries.ORACLE}
-RUN = {**data_queries.QUERIES, **stream_queries.QUERIES, **watch_queries.QUERIES}
+SQL = {**data_queries.ORACLE, **stream_queries.ORACLE, **watch_queries.ORACLE, **job_queries.ORACLE}
+RUN = {**data_queries.QUERIES, **stream_queries.QUERIES, **watch_queries.QUERIES, **job_queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -338,6 +338,49 @@ def test_sources(spark, tmp_path):
         src.lookup({}, "a.b", required=True)
 
 
+@pytest.mark.parametrize(
+    "name, pushed",
+    [
+        ("select_before_cutoff", ["LessThanOrEqual(t_end,"]),
+        ("overlap_filter", ["GreaterThanOrEqual(t_end,", "LessThanOrEqual(t_start,"]),
+        ("browse_gated_only", ["EqualTo(gated,true)"]),
+        ("browse_oldest_first", ["EqualTo(tier,live)", "IsNotNull(t_start)"]),
+        ("hybrid_search", ["EqualTo(tier,live)", "EqualTo(gated,false)"]),
+    ],
+)
+def test_filters_reach_the_scan_of_the_chunks(spark, name, pushed):
+    plan = stream_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PushedFilters" in line and "chunk_id" in line)
+    filters = scan[scan.index("PushedFilters") :]
+    assert all(p in filters for p in pushed), filters
+
+
+def test_the_funnel_meets_the_tasks_once(spark):
+    plan = watch_queries.funnel_counters(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("NestedLoopJoin") == 1
+    plan = watch_queries.brakes_full(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan  # the pairs were met before, and what is ok was written
+
+
+def test_late_rows_go_to_their_own_folder_and_a_retry_changes_nothing(spark, tmp_path):
+    sink = live.LateSink(f"file://{tmp_path}", 10)
+    rows = lambda ts: spark.createDataFrame([(dt.datetime.fromtimestamp(t, UTC),) for t in ts], "t_start timestamp")
+    for batch, ts in enumerate([[100, 120], [111, 109, 200], [150]]):
+        for _ in range(2):
+            sink(rows(ts), batch)
+    read = lambda f: sorted(int(r[0].timestamp()) for r in spark.read.parquet(f"file://{tmp_path}/{f}").select("t_start").collect())
+    assert read("main") == [100, 111, 120, 200] and read("late") == [109, 150]
+
+
+def test_an_outbox_sends_each_key_once(spark, tmp_path):
+    send = live.outbox(f"file://{tmp_path}/box")
+    rows = lambda ks: spark.createDataFrame([(k,) for k in ks], "idempotency_key string")
+    for batch, ks in enumerate([["a", "a", "b"], ["b", "c"]]):
+        for _ in range(2):
+            send(rows(ks), batch)
+    assert sorted(r[0] for r in spark.read.parquet(f"file://{tmp_path}/box").select("idempotency_key").collect()) == ["a", "b", "c"]
+
+
 def test_plans_push_filters_and_avoid_cartesian(spark):
     plan = stream_queries.cosine_topk(spark, SF)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
