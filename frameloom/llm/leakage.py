@@ -339,8 +339,10 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, o: LeakOpt
     for r in table.filter("kind = 1").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a term
         df[r["at"]] = r["n"]
     idf = np.log1p(n_docs / (1 + df)).astype(np.float32)
-    # The table is small next to its texts; spread it over all cores again.
-    windows = table.filter("kind = 0").select("doc_id", "terms").repartition(2 * input_cores(docs.sparkSession))
+    windows = table.filter("kind = 0").select("doc_id", "terms")
+    if windows.rdd.getNumPartitions() < input_cores(docs.sparkSession):
+        # Few small files: spread them over all cores.
+        windows = windows.repartition(2 * input_cores(docs.sparkSession))
     basis = latent_basis(windows, idf, items.passages, o)
     latent = _unit(_project(items.passages, _weights(items.passages, idf), basis))
     length = (items.passages >= 0).sum(1)
