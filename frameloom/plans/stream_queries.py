@@ -490,13 +490,13 @@ def stub_scene_hash(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", tf.scene_number(F.col("chunk_id")).alias("scene"))
 
 
-@query(f"select t.task_id, e.event_id, case when a = z or (a = 0 and z = 1440) then true when a < z then m >= a and m < z else m >= a or m < z end as active from (select task_id, cast(active[1:2] as int) * 60 + cast(active[4:5] as int) as a, cast(active[7:8] as int) * 60 + cast(active[10:11] as int) as z from tasks) t, (select event_id, hour(l) * 60 + minute(l) as m from (select event_id, (ts at time zone 'UTC') at time zone '{ZONE}' as l from events)) e where case when a = z or (a = 0 and z = 1440) then false when a < z then m >= a and m < z else m >= a or m < z end")
+@query(f"select t.task_id, e.event_id, case when a = z or (a = 0 and z = 1440) then true when a < z then m >= a and m < z else m >= a or m < z end as active from (select task_id, cast(active[1:2] as int) * 60 + cast(active[4:5] as int) as a, cast(active[7:8] as int) * 60 + cast(active[10:11] as int) as z from tasks) t, (select event_id, hour(l) * 60 + minute(l) as m from (select event_id, (ts at time zone 'UTC') at time zone '{ZONE}' as l from events)) e")
 def active_hours(spark, sf_dir):
+    """Whether each task is active at each event."""
     w = tf.active_minutes("active")
     t = table(spark, sf_dir, "tasks").select("task_id", w["start"].alias("a"), w["end"].alias("z"))
-    always = (F.col("a") == F.col("z")) | ((F.col("a") == 0) & (F.col("z") == 1440))
-    e = table(spark, sf_dir, "events").select("event_id", "ts").crossJoin(F.broadcast(t.filter(~always)))  # the standing tasks
-    return e.select("task_id", "event_id", tf.minute_within(F.col("a"), F.col("z"), "ts", ZONE).alias("active")).filter("active")
+    e = table(spark, sf_dir, "events").select("event_id", tf.local_minute("ts", ZONE).alias("m")).crossJoin(F.broadcast(t))  # the standing tasks
+    return e.select("task_id", "event_id", tf.minute_in(F.col("a"), F.col("z"), F.col("m")).alias("active"))
 
 
 @query(f"select task_id, m as minute, count(*) as n from (select task_id, cast(active[1:2] as int) * 60 + cast(active[4:5] as int) as a, cast(active[7:8] as int) * 60 + cast(active[10:11] as int) as z from tasks) t, (select hour(l) * 60 + minute(l) as m from (select (ts at time zone 'UTC') at time zone '{ZONE}' as l from events)) e where a = z or (a = 0 and z = 1440) or case when a < z then m >= a and m < z else m >= a or m < z end group by 1, 2")

@@ -342,10 +342,10 @@ def test_sources(spark, tmp_path):
     "name, pushed",
     [
         ("select_before_cutoff", ["LessThanOrEqual(t_end,"]),
-        ("overlap_filter", ["GreaterThanOrEqual(t_end,", "LessThanOrEqual(t_start,"]),
+        ("overlap_filter", ["GreaterThanOrEqual(t_end,", "IsNotNull(t_start)"]),
         ("browse_gated_only", ["EqualTo(gated,true)"]),
         ("browse_oldest_first", ["EqualTo(tier,live)", "IsNotNull(t_start)"]),
-        ("hybrid_search", ["EqualTo(tier,live)", "EqualTo(gated,false)"]),
+        ("hybrid_search", ["EqualTo(tier,live)", "Not(EqualTo(gated,true))"]),
     ],
 )
 def test_filters_reach_the_scan_of_the_chunks(spark, name, pushed):
