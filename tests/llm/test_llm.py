@@ -368,6 +368,24 @@ def test_search_queries_depend_on_the_record_only(spark):
     assert want and {r.chunk_id for r in queries.p6_search(spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["p6_neighbours", "p6_search"])
+def test_recall_of_the_queries_against_brute_force(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    c = spark.read.parquet(f"{sf}/chunks.parquet").filter("size(embedding) = 64").select("chunk_id", "embedding").dropDuplicates(["chunk_id"]).toPandas()
+    x = np.stack(c.embedding.to_list())
+    ids, x = c.chunk_id[(x != 0).any(1)].to_list(), x[(x != 0).any(1)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    at = {k: i for i, k in enumerate(ids)}
+    fifth = np.partition(s, -5, axis=1)[:, -5]
+    rows = queries.QUERIES[name](spark, sf).collect()
+    hit = sum(s[at[r.chunk_id], at[r.neighbour_id]] >= fifth[at[r.chunk_id]] - 1e-9 for r in rows)
+    asked = {r.chunk_id for r in rows}
+    assert name == "p6_search" or asked == set(ids)
+    assert hit >= 0.9 * 5 * len(asked) and asked
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
