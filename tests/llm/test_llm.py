@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from frameloom.llm import queries
 from frameloom.llm.bpe import DEFAULT_TOKENIZER, automaton, decode_corpus, encode_corpus
 from frameloom.llm.graph_search import greedy_search
 from frameloom.llm.leakage import LeakOptions, find_leaks
-from frameloom.llm.neardup import linked_records, similar_texts
+from frameloom.llm.neardup import _Cells, linked_records, similar_texts, words_of_a_pivot
 from frameloom.llm.nndescent import GraphOptions, NeighbourGraph, _id_of, _Pivots, close_pairs
 from frameloom.llm.runs import event_runs
 from frameloom.llm.splitting import Splitter, split_corpus
@@ -131,6 +132,34 @@ def test_similar_texts_as_brute_force(spark, cell_rows, depth):
     assert all(r[1].count() == 0 for r in [similar_texts(df.limit(0), "text")])
 
 
+@pytest.mark.parametrize("at_once, depth", [(0, 2), (0, 3), (40, 4)])
+def test_similar_texts_by_pivots_of_several_words(spark, at_once, depth):
+    rng = random.Random(depth)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(vocab, rng.choice([1, 2, 3, 5, 8, 11, 15, 16, 22, 34]))) for _ in range(120)]
+    texts += [re.sub(r"w\d+", lambda m: rng.choice([m[0]] * 9 + ["", "zz", rng.choice(vocab)]), t) for t in texts for _ in range(2)]
+    texts += [t.rsplit(" ", t.count(" ") // 4)[0] for t in texts[:120]]
+    # One cell of more texts than are compared at once.
+    texts += [" ".join([*vocab[:12], f"x{i}"]) for i in range(120)]
+    df = spark.createDataFrame([(f"id{i:03d}", t) for i, t in enumerate(texts)], "rec string, text string")
+    got = {(r.id_a, r.id_b) for r in linked_records(df, "rec", "text", at_once=at_once, depth=depth).collect()}
+    rows = [(r.rec, r.text) for r in df.collect()]
+    assert got == {(i, j) for i, t in rows for j, u in rows if i < j and t != u and _alike(t, u)} and len(got) > 7000
+
+
+def test_texts_met_in_cells_do_not_grow_with_the_table():
+    rng = random.Random(4)
+    vocab, times = [f"w{i}" for i in range(1200)], 2000
+    texts = [rng.sample(vocab, 34) for _ in range(4000)]
+    n = len(texts) * times
+    freq = {w: c * times for w, c in Counter(w for t in texts for w in t).items()}
+    cells = _Cells(freq, n, 7, 10, 262_144, words_of_a_pivot(freq, n, 7, 10, 16_384, 3), 16_384)
+    held = Counter(c for i, t in enumerate(texts) for c in cells.of(" ".join(t), i)[3])
+    assert sum(held.values()) <= 25 * len(texts)
+    # With cells of one word: about 11 x 0.028 x 8 million.
+    assert sum(c * (c - 1) for c in held.values()) / len(texts) * times < 300_000
+
+
 def _runs(rows, gap=600 * US):
     out = []
     for key in {r[0] for r in rows if r[0] is not None}:
