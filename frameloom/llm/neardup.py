@@ -91,7 +91,7 @@ def frequent_words(texts: DataFrame, n_texts: int, share: float = SHARE) -> dict
 
 
 def words_of_a_pivot(freq: dict[str, int], n_texts: int, num: int, den: int, at_once: int, depth: int) -> int:
-    """Words that make a pivot, so that the usual cell holds ``at_once`` texts, or four times as many with each word more."""
+    """Words that make a pivot, as few as leave at most ``at_once`` texts in the usual cell."""
     shares = sorted(c / max(1, n_texts) for c in freq.values())
     reach = (den - num) / den * sum(shares) + 1
     got = usual = 0.0
@@ -102,7 +102,7 @@ def words_of_a_pivot(freq: dict[str, int], n_texts: int, num: int, den: int, at_
         usual += s * s
     usual = usual / got if got else 0.0
     level = 1
-    while level < depth and n_texts * usual**level > at_once * 4 ** (level - 1):
+    while level < depth and n_texts * usual**level > at_once:
         level += 1
     return level
 
