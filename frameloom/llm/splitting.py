@@ -10,6 +10,8 @@ before, and none is longer than ``max_tokens``.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,14 @@ _ENDS, _WIDE_ENDS, _CLAUSES, _CLOSERS = ".!?…", "。！？", ",;:", "\"'”’
 PIECES = "piece int, n_pieces int, start_char bigint, end_char bigint, n_tokens int, overlap_tokens int, cut string, text string"
 #: A pre-split word of more tokens than this is cut up into its tokens.
 LONG_WORD = 48
+# White space of the pre-split pattern (Python's own \s takes in U+001C to U+001F besides).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of other characters with the white space before them. No pre-split word goes on from another character into white
+#: space, nor looks beyond it, so the words of a chunk do not depend on what stands around it.
+_split_chunks = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+#: The programme's table of imbalances is filled for so many cuts at once.
+_BLOCK = 64
+_ROWS = np.arange(_BLOCK)
 
 
 # What is kept of a word: its token count, its length and these marks, in one integer.
@@ -53,24 +63,55 @@ def _facts(tok: MergeAutomaton, w: str, count: int | None = None) -> int:
     return x
 
 
+class _Words(dict):
+    """The facts of words, kept for words met again; of a text's long words, ``long`` keeps the ids."""
+
+    def __init__(self, tok: MergeAutomaton) -> None:
+        self.tok, self.long = tok, {}
+
+    def __missing__(self, w: str) -> int:
+        if len(w) > LONG_WORD:
+            if w not in self.long:
+                self.long[w] = self.tok.word_ids(w)
+            return _facts(self.tok, w, len(self.long[w]) >> 2)
+        x = _facts(self.tok, w)
+        if len(self) >= 400_000:
+            self.clear()
+        self[w] = x
+        return x
+
+
+class _Chunks(dict):
+    """The facts of the words of chunks, as the bytes of an int64 array; kept for chunks met again."""
+
+    def __init__(self, words: _Words) -> None:
+        self.words = words
+
+    def __missing__(self, c: str) -> bytes:
+        words = self.words
+        got = array("q", [words[w] for w in words.tok.split(c)]).tobytes()
+        if len(c) <= LONG_WORD:
+            if len(self) >= 400_000:
+                self.clear()
+            self[c] = got
+        return got
+
+
 class Splitter:
-    """Splits texts with one tokenizer; keeps the facts of the words it met."""
+    """Splits texts with one tokenizer; keeps the facts of the words and chunks it met."""
 
     def __init__(self, tok: MergeAutomaton, max_tokens: int = 512, overlap: int = 64) -> None:
         if not 0 <= 2 * overlap < max_tokens or max_tokens < 16:
             raise ValueError("max_tokens must be at least 16 and more than twice the overlap")
         self.tok, self.max_tokens, self.overlap = tok, max_tokens, overlap
-        self._known: dict[str, int] = {}
-
-    def _fact(self, w: str) -> int:
-        x = self._known.get(w)
-        if x is None:
-            x = _facts(self.tok, w)
-            if len(w) <= 48:
-                if len(self._known) >= 400_000:
-                    self._known.clear()
-                self._known[w] = x
-        return x
+        self._words = _Words(tok)
+        self._chunks = _Chunks(self._words)
+
+    def _facts_of(self, text: str) -> np.ndarray:
+        """The facts of all words of a text, chunk by chunk."""
+        self._words.long.clear()
+        chunks = self._chunks
+        return np.frombuffer(b"".join([chunks[c] for c in _split_chunks(text)]), dtype=np.int64)
 
     def _long_words(self, words: list[str], facts: list[int]) -> tuple[list[str], list[int]]:
         """Long words as runs of whole-character tokens: a run of tokens out of a path is a path, so counts hold for every cut between them."""
@@ -81,7 +122,7 @@ class Splitter:
                 out_f.append(x)
                 continue
             held, k, part = b"", 0, 0
-            for t in np.frombuffer(self.tok.word_ids(w), dtype=np.int32).tolist():
+            for t in np.frombuffer(self._words.long.get(w) or self.tok.word_ids(w), dtype=np.int32).tolist():
                 held += self.tok.labels[t]
                 k += 1
                 try:
@@ -97,24 +138,17 @@ class Splitter:
         """Rows of ``PIECES`` for one text; a null, empty or short text is one piece."""
         if not text:
             return [(0, 1, 0, 0, 0, 0, "end", text)]
-        words = self.tok.split(text)
-        known = self._known
-        try:
-            facts = [known[w] for w in words]
-        except KeyError:
-            facts = [known.get(w) or self._fact(w) for w in words]
-        f = np.array(facts, dtype=np.int64)
+        f = self._facts_of(text)
         total = int((f & _MASK).sum())
         if total <= self.max_tokens:
             return [(0, 1, 0, len(text), total, 0, "end", text)]
         if (f & _MASK).max() > LONG_WORD:
-            words, facts = self._long_words(words, facts)
-            f = np.array(facts, dtype=np.int64)
-        return self._pieces(text, words, f)
+            f = np.array(self._long_words(self.tok.split(text), f.tolist())[1], dtype=np.int64)
+        return self._pieces(text, f)
 
-    def _pieces(self, text: str, words: list[str], f: np.ndarray) -> list[tuple]:
+    def _pieces(self, text: str, f: np.ndarray) -> list[tuple]:
         max_tokens, overlap = self.max_tokens, self.overlap
-        m = len(words)
+        m = len(f)
         cum, off = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
         np.cumsum(f & _MASK, out=cum[1:])
         np.cumsum(f >> _BITS & _MASK, out=off[1:])
@@ -151,7 +185,7 @@ class Splitter:
             a = e - 2
             while a and blank[a - 1]:
                 a -= 1
-            extra[k] = (len(self.tok.word_ids("".join(words[a:e]))) >> 2) - int(cum[e] - cum[a])
+            extra[k] = (len(self.tok.word_ids(text[off[a] : off[e]])) >> 2) - int(cum[e] - cum[a])
 
         # Where the piece after each cut begins: a word near the wanted overlap, else the nearest boundary.
         starts = np.flatnonzero(kind[:m] <= _WORD)
@@ -169,23 +203,42 @@ class Splitter:
         pen = np.array([p for _, p in CUTS])[kind[ends]] + 2.0
         n_min = -(-(int(cum[m]) - overlap) // (max_tokens - overlap))
         target = (float(cum[m]) + (n_min - 1) * overlap) / n_min
-        first = np.maximum.accumulate(np.searchsorted(from_cum, size_to - max_tokens)).tolist()
-        cost = np.full(len(ends) + 1, np.inf)
+        n = len(ends)
+        first = np.maximum.accumulate(np.searchsorted(from_cum, size_to - max_tokens))
+        order = np.arange(n)
+        if (first > order).any():
+            raise ValueError("a word is longer than max_tokens allows")
+        cost = np.full(n + 1, np.inf)
         cost[0] = 0.0
-        back = [0] * (len(ends) + 1)
+        back = np.zeros(n + 1, dtype=np.int64)
         scale = 8.0 / target**2
         shifted = from_cum + target
-        for k, lo in enumerate(first):
-            d = size_to[k] - shifted[lo : k + 1]
-            c = cost[lo : k + 1] + scale * d * d
-            b = int(c.argmin())
-            cost[k + 1] = c[b] + pen[k]
-            back[k + 1] = lo + b
+        for at in range(0, n, _BLOCK):  # a block of cuts at once: after those before it, then after its own until no cost changes
+            base, top = int(first[at]), min(at + _BLOCK, n)
+            d = size_to[at:top, None] - shifted[base:top]
+            uneven = scale * d * d
+            rows, old = _ROWS[: top - at], at + 1 - base
+            np.copyto(uneven, np.inf, where=order[base:top] < first[at:top, None])
+            np.copyto(uneven[:, old:], np.inf, where=rows[1:] > rows[:, None])
+            c = uneven[:, :old] + cost[base : at + 1]
+            b = c.argmin(axis=1)
+            best, b = c[rows, b], b + base
+            cost[at + 1 : top + 1] = best + pen[at:top]
+            while top - at > 1:
+                c = uneven[:, old:] + cost[at + 1 : top]
+                own = c.argmin(axis=1)
+                least = c[rows, own]
+                got = np.minimum(least, best) + pen[at:top]
+                if np.array_equal(got, cost[at + 1 : top + 1]):
+                    b = np.where(least < best, own + (at + 1), b)
+                    break
+                cost[at + 1 : top + 1] = got
+            back[at + 1 : top + 1] = b
         cuts = []
-        k = len(ends)
+        k = n
         while k:
             cuts.append(k)
-            k = back[k]
+            k = int(back[k])
         cuts.reverse()
         out, prev_cut = [], 0
         for p, k in enumerate(cuts):

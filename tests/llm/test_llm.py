@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.compare import compare, duck
 
-from frameloom.llm import queries
+from frameloom.llm import queries, splitting
 from frameloom.llm.bpe import DEFAULT_TOKENIZER, automaton, decode_corpus, encode_corpus
 from frameloom.llm.graph_search import greedy_search
 from frameloom.llm.leakage import LeakOptions, find_leaks
@@ -112,6 +112,44 @@ def test_pieces_keep_limit_order_overlap_and_whole_text(spark, tok):
         Splitter(tok, 100, 60)
 
 
+@needs_vocab
+def test_chunks_met_before_are_not_pre_split_again(tok, monkeypatch):
+    s = Splitter(tok)
+    s.split("The van it's parked,\n\nthen the  van leaves. " * 3)
+    split, asked = tok.split, []
+    monkeypatch.setattr(tok, "split", lambda t: asked.append(t) or split(t))
+    text = "The van leaves. The parked,  van it's\n\nthen the" + " parked, the leaves." * 300
+    pieces = s.split(text)
+    assert asked == [] and len(pieces) > 1 and sum(p[4] - p[5] for p in pieces) == len(tok.encode(text))
+    s.split("The bus leaves.")
+    assert asked == [" bus"]
+
+
+@needs_vocab
+def test_words_of_chunks_are_those_of_the_text(tok):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    space = re.compile(f"[{splitting._SPACE}]").match
+    assert [c for c in every if space(c)] == [c for c in every if tok._split(f"a{c}{c}b") == ["a", c, f"{c}b" if c == " " else c, "b"][: 3 if c == " " else 4]]
+    rng = random.Random(7)
+    marks = [*"ab's 19é漢_.,\n\t\r\x1c\x1f\x85\xa0\u2028\u3000\u200b’-🎥²", "'ll", "  ", " \n", "\n "]
+    for _ in range(3000):
+        t = "".join(rng.choice(marks) for _ in range(rng.randrange(1, 40)))
+        assert [w for c in splitting._split_chunks(t) for w in tok.split(c)] == tok.split(t)
+
+
+@needs_vocab
+def test_blocks_of_cuts_give_the_pieces_of_single_cuts(tok, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["van", " the", " 17", ". ", ", ", "\n", "\n\n", " \n", "漢"]) for _ in range(rng.choice([300, 1200, 4000]))) for _ in range(25)]
+    for limits in [(512, 64), (128, 10), (256, 0), (400, 199)]:
+        got = []
+        for block in (1, 5, 64):
+            monkeypatch.setattr(splitting, "_BLOCK", block)
+            s = Splitter(tok, *limits)
+            got.append([s.split(t) for t in texts])
+        assert got[0] == got[1] == got[2] and max(map(len, got[0])) > 5
+
+
 def _alike(a, b):
     x, y = set(words(a)), set(words(b))
     return bool(x and y) and 10 * len(x & y) >= 7 * len(x | y)
